@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline. Nothing outside this folder imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value: a cluster need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
