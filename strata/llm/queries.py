@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, quality, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard, language, quality, site_style, topk, toxicity, url_filter
 from .common import held_out, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,9 +40,40 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), sample)
+    events = said.union(own).select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return chat.digest(chat.read(chat.render(chat.rebuild(events))))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_ALL = (
+    op1_topk_search, op2_byte_bpe, op3_url_filter, op4_toxicity, op5_decontamination,
+    op6_importance_resampling, op7_chat_format, op8_jaccard_join, op9_language_id, op10_site_style_tree,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_toxicity, op5_decontamination, op6_importance_resampling, op9_language_id)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": topk.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL}
