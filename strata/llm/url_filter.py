@@ -13,14 +13,20 @@ action, allow wins; an empty table gives an empty one; other columns are ignored
 
 from __future__ import annotations
 
+import re
 import string
+from contextlib import suppress
+from html import unescape
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+MOST_RULES = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -39,40 +45,50 @@ def query_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits, as a struct of rule and action; null if none does."""
-    out = F.lit(None).cast("struct<rule:string,action:string>")
-    for action, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow")):  # the last one is tried first
-        name, _, start = rule.partition("/")
-        fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
-        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"))).otherwise(out)
-    return out
+    """The longest rule that fits, as a struct of rule and action; null if none does. Rules are a literal, tried in order."""
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    known = F.array(*[
+        F.struct(F.lit(r.partition("/")[0]).alias("host"), F.lit(f"/{r.partition('/')[2]}").alias("path"), F.lit(r).alias("rule"), F.lit(action).alias("action"))
+        for action, r in sorted(rules, key=lambda r: (-len(r[1]), r[0] != "allow"))
+    ])
+    return F.get(F.filter(known, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"])), F.lit(0))
+
+
+_HIDDEN = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.S | re.I)
+_TAG = re.compile(r"<(link|meta)\b([^>]*)>", re.I)
+_ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_REFRESH = re.compile(r"""\burl\s*=\s*['"]?\s*([^'"\s]+)""", re.I)
+
+
+def targets(html: str) -> list[str]:
+    """What a page's canonical links and refresh redirects name."""
+    out = []
+    for tag, rest in _TAG.findall(_HIDDEN.sub("", html)):
+        named = {k.lower(): unescape(x or y or z).strip() for k, x, y, z in _ATTRIBUTE.findall(rest)}
+        if tag.lower() == "link" and "canonical" in named.get("rel", "").lower().split():
+            out.append(named.get("href", ""))
+        elif tag.lower() == "meta" and named.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.search(named.get("content", ""))):
+            out.append(m[1])
+    return [x for x in out if x]
 
 
 def aliases(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges a, b between URLs (as host, path and query): canonical links and refresh redirects."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->|(?i)<script\b.*?</script\s*>", "")
-    tags = F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    some = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    found = some.select(F.col(url).alias("u"), F.explode(tags).alias("tag"))
-    value = F.when(
-        F.col("tag").rlike(r"(?is)^<link\b") & F.col("tag").rlike(r"""(?is)\brel\s*=\s*["']?\s*canonical\b"""),
-        F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1),
-    ).when(
-        F.col("tag").rlike(r"(?is)^<meta\b") & F.col("tag").rlike(r"""(?is)http-equiv\s*=\s*["']?\s*refresh\b"""),
-        F.regexp_extract("tag", r"""(?is)\burl\s*=\s*['"]?\s*([^"'\s>]+)""", 1),
-    )
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract("u", r"^[^:/?#]*:", 0)
-    base = F.concat(scheme, F.lit("//"), host_of(F.col("u")))
-    full = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(scheme, to))
-        .when(to.startswith("/"), F.concat(base, to))
-        .when(to.startswith("?"), F.concat(base, path_of(F.col("u")), to))
-        .otherwise(F.concat(base, F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("u")), r"^.*/", 0), F.lit("")), F.lit("/")), to))
-    )
-    links = found.select("u", value.alias("to")).where("to <> ''").select("u", full.alias("full"))
-    return links.select(_node(F.col("u")).alias("a"), _node(F.col("full")).alias("b")).where("a <> '' and b <> ''").distinct()
+
+    def run(batches):
+        for b in batches:
+            pairs = []
+            for u, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in targets(page):
+                    with suppress(ValueError):  # a target that is no URL
+                        pairs.append((u, urljoin(u, x)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["u", "x"])
+
+    has = F.lower(html)
+    some = pages.where((has.contains("canonical") | has.contains("refresh")) & F.col(url).contains("://"))
+    links = some.select(url, html).mapInArrow(run, "u string, x string")
+    return links.select(_node(F.col("u")).alias("a"), _node(F.col("x")).alias("b")).where("a <> '' and b <> ''").distinct()
 
 
 def _node(url: Column) -> Column:
