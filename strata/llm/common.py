@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE = 400_000  # words that a task remembers before it starts anew; bounds its memory
+WORD_CACHE = 300_000  # words that a task remembers before it starts anew; bounds its memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,19 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def runs(texts: list[str | None], chars: int = 1_000_000):
+    """The texts in runs of about so many characters, or of one longer text: what is worked on at once stays small."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t or "") > chars:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t or "")
+    if run:
+        yield run
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to WORD_CACHE of them."""
 

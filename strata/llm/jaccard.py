@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, written
+from .common import WordHash, mix, runs, written
 from .graph import components
 
 WORDS = 5
@@ -41,6 +41,10 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(texts: list[str | None], hashes: WordHash, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (unsigned 64 bit) of each text."""
+    return [s for run in runs(texts) for s in _sets(run, hashes, words)]
+
+
+def _sets(texts: list[str | None], hashes: WordHash, words: int) -> list[np.ndarray]:
     found = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     sizes = np.array([len(f) for f in found], np.int64)
     h = np.fromiter((x for f in found for x in map(hashes.__getitem__, f)), np.uint64, int(sizes.sum()))

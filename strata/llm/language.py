@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, held_out
+from .common import WORD_CACHE, held_out, runs
 
 ORDERS = (2, 3, 4)
 MAX_ROWS = 3_000
@@ -133,6 +133,9 @@ class Counter:
         self.rows = np.zeros((0, len(filters.languages) + 1), np.int64)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([self.rows[:0], *map(self._count, runs(texts))])
+
+    def _count(self, texts: list[str | None]) -> np.ndarray:
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         new = list({w for f in found for w in f if w not in self.at})
         if new:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, held_out, mix, written
+from .common import WordHash, held_out, mix, runs, written
 
 BITS = 16
 MAX_ROWS = 16_000
@@ -52,7 +52,8 @@ def counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     def run(batches):
         sums, hashes = np.zeros(1 << bits, np.int64), WordHash()
         for b in batches:
-            sums += np.bincount(ngrams(b.column(0).to_pylist(), hashes, bits)[0], minlength=1 << bits)
+            for part in runs(b.column(0).to_pylist()):
+                sums += np.bincount(ngrams(part, hashes, bits)[0], minlength=1 << bits)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["b", "n"])
 
@@ -91,8 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 
 def _perturbed(keys: list, texts: list[str | None], ratio: np.ndarray, hashes: WordHash, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    i, row = ngrams(texts, hashes)
-    weight = np.bincount(row, ratio[i], len(texts))
+    weight = [np.zeros(0)]
+    for run in runs(texts):
+        i, row = ngrams(run, hashes)
+        weight.append(np.bincount(row, ratio[i], len(run)))
+    weight = np.concatenate(weight)
     return weight, weight + gumbel(keys, seed)
 
 
