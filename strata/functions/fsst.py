@@ -62,28 +62,22 @@ def train(values: list[bytes]) -> Table:
     values = [v for v in values if v]
     if not values:
         raise ValueError("nothing to train on")
-    best, best_gain, table = None, -1, Table([])
+    table, tables = Table([]), []
     for part in ROUNDS:
-        sample = values[: max(1, len(values) * part // 128)]
+        sample = values[: max(1, -(-len(values) * part // 128))]
         counts: Counter[bytes] = Counter()
-        size = coded = 0
         for v in sample:
             parts = table.pattern.findall(v)
             counts.update(parts)
             counts.update(a + b for a, b in zip(parts, parts[1:]) if len(a) + len(b) <= LONGEST)
-            size += len(v)
-            coded += sum(1 if p in table.code else 2 for p in parts)
-        if size - coded >= best_gain and table.symbols:
-            best, best_gain = table, size - coded
         least = max(1, 5 * part // 128)
         gain = [((len(s) * n * (8 if len(s) == 1 else 1)), s) for s, n in counts.items() if n >= least]
         table = Table([s for _, s in sorted(gain, key=lambda g: (-g[0], g[1]))[:ESCAPE]])
-    coded = sum(len(table.encode(v)) for v in values)
-    if table.symbols and sum(map(len, values)) - coded >= best_gain:
-        best = table
-    if best is None:
+        tables.append(table)
+    tables = [t for t in tables if t.symbols]
+    if not tables:
         raise ValueError("no symbol is worth its code")
-    return best
+    return min(tables, key=lambda t: sum(len(t.encode(v)) for v in values))
 
 
 def train_on(df: DataFrame, column: str, key: str) -> Table:

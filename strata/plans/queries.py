@@ -68,9 +68,9 @@ newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER B
 """
 
 
-@query(LOG + "SELECT * FROM newest WHERE key >= 20 AND key < 4000 AND flag & 8 = 0")
+@query(LOG + "SELECT * FROM newest WHERE key >= 2 AND key < 4000 AND flag & 8 = 0")
 def kv_get_latest(spark, sf_dir):
-    return versions.live(versions.latest(_log(spark, sf_dir).where(key_filter(F.col("key"), 20, 4000))))
+    return versions.live(versions.latest(_log(spark, sf_dir).where(key_filter(F.col("key"), 2, 4000))))
 
 
 @query("SELECT c_custkey AS key, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS ver FROM customer WHERE c_custkey % 3 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
