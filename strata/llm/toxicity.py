@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, held_out, mix
+from .common import WordHash, held_out, mix, runs
 
 BITS = 20
 MAX_ROWS = 16_000
@@ -76,11 +76,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     def extract(batches):
         hashes = WordHash()
         for b in batches:
-            i, row = features(b.column(1).to_pylist(), hashes, bits)
-            both = np.unique(row * (1 << 32) + i)
-            at = np.searchsorted(both, np.arange(b.num_rows + 1) << 32)
-            both = (both & 0xFFFFFFFF).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([both[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], names=["k", "y", "f"])
+            out = []
+            for texts in runs(b.column(1).to_pylist()):
+                i, row = features(texts, hashes, bits)
+                both = np.unique(row * (1 << 32) + i)
+                at = np.searchsorted(both, np.arange(len(texts) + 1) << 32)
+                both = (both & 0xFFFFFFFF).astype(np.int32)
+                out += [both[s:e].tobytes() for s, e in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["k", "y", "f"])
 
     def train(batches):
         model, seen = Ftrl((1 << bits) + 1), []
@@ -108,11 +111,14 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], key: str = "doc_id"
             w[i] = x
         hashes = WordHash()
         for b in batches:
-            i, row = features(b.column(1).to_pylist(), hashes, bits)
-            on = w[i] != 0
-            both = np.unique(row[on] * (1 << 32) + i[on])
-            total = w[0] + np.bincount(both >> 32, w[both & 0xFFFFFFFF], b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], names=["k", "score"])
+            total = []
+            for texts in runs(b.column(1).to_pylist()):
+                i, row = features(texts, hashes, bits)
+                on = w[i] != 0
+                both = np.unique(row[on] * (1 << 32) + i[on])
+                total.append(w[0] + np.bincount(both >> 32, w[both & 0xFFFFFFFF], len(texts)))
+            p = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *total]), -35, 35)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
