@@ -30,6 +30,7 @@ BITS = 16
 MAX_ROWS = 16_000
 SMOOTH = 1.0
 SLACK = 0.02
+FLOOR = -4.0
 SEED = 7
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -139,19 +140,20 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return float(np.array([got], np.uint64).view(np.float64)[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, slack: float = SLACK, key: str = "doc_id", text: str = "text", seed: int = SEED) -> tuple[DataFrame, np.ndarray, float]:
+def sample(docs: DataFrame, labels: DataFrame, slack: float = SLACK, floor: float = FLOOR, key: str = "doc_id", text: str = "text", seed: int = SEED) -> tuple[DataFrame, np.ndarray, float]:
     """key, log_weight, perturbed and kept of each row; the log ratios and the least perturbed weight kept."""
     ratio, share = fit(docs, labels, key=key, text=text)
     scored = written(weigh(docs, ratio, key, text, seed), "weights")
-    k = int(np.ceil(scored.count() * min(1.0, share + slack)))
+    n, likely = scored.agg(F.count("*"), F.count(F.when(F.col("perturbed") >= floor, 1))).first()
+    k = max(likely, int(np.ceil(n * min(1.0, share + slack))))
     least = kth_largest(scored, "perturbed", k)
     least = float("-inf") if least is None else least
     return scored.withColumn("kept", F.col("perturbed") >= F.lit(least)), ratio, least
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, slack: float = SLACK, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, slack: float = SLACK, floor: float = FLOOR, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """The rows of docs that are sampled; all columns stay. Weights are computed again, which is cheaper than moving the texts."""
-    _, ratio, least = sample(docs, labels, slack, key, text, seed)
+    _, ratio, least = sample(docs, labels, slack, floor, key, text, seed)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     k, at = docs.columns.index(key), docs.columns.index(text)
 
