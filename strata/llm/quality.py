@@ -29,8 +29,8 @@ from .common import WordHash, held_out, mix, runs, written
 BITS = 16
 MAX_ROWS = 16_000
 SMOOTH = 1.0
-SLACK = 0.02
-FLOOR = -4.0
+SLACK = 0.005
+FLOOR = -8.0
 SEED = 7
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
