@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import flags, fsst
+from ..functions import bits, flags, fsst
 from ..functions.bounds import Range, key_filter, overlaps
 from ..operators import levels, ranges, sequences, versions
 from ..sources import frames, segments
@@ -451,3 +451,55 @@ def stream_ingest_latest(spark, sf_dir):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ingest.run(source, path, _shape)
     return versions.live(versions.latest(ingest.table(spark, path)))
+
+
+@query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey DESC)::BIGINT AS rank FROM orders")
+def kv_reverse_scan(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (-F.col("o_orderkey")).alias("back"), (-F.expr("o_orderkey div 10000")).alias("b"))
+    return versions.numbered(df, "b", ("back",)).select("key", (F.col("n") + 1).alias("rank"))
+
+
+@query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey)::BIGINT AS rank FROM orders QUALIFY rank <= 10")
+def kv_first_n(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")).orderBy("key").limit(10)
+    return df.withColumn("rank", F.row_number().over(Window.orderBy("key")).cast("long"))  # ten rows
+
+
+@query("SELECT c_custkey AS key, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS found FROM customer")
+def kv_exists(spark, sf_dir):
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    there = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct().withColumn("found", F.lit(True))
+    return keys.join(there, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query(LOG + "SELECT key, ver FROM newest")
+def log_compaction(spark, sf_dir):
+    """A log rewritten to its newest rows in place of itself; what is read back afterwards."""
+    path = f"{_scratch(spark)}/log"
+    segments.replace(_log(spark, sf_dir), path)
+    segments.replace(versions.latest(spark.read.parquet(path)), path)
+    return spark.read.parquet(path).select("key", "ver")
+
+
+@query("SELECT o_orderkey // 100 AS seg, min(o_orderkey::VARCHAR) AS first, max(o_orderkey::VARCHAR) AS last, array_to_string(list_transform(list_filter(range(1, 20), lambda i: i <= least(length(min(o_orderkey::VARCHAR)), length(max(o_orderkey::VARCHAR))) AND min(o_orderkey::VARCHAR)[1:i] = max(o_orderkey::VARCHAR)[1:i]), lambda i: min(o_orderkey::VARCHAR)[i:i]), '') AS prefix FROM orders GROUP BY 1")
+def key_prefix(spark, sf_dir):
+    keys = _table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 100").alias("seg"), F.col("o_orderkey").cast("string").alias("k"))
+    ends = keys.groupBy("seg").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    return ends.withColumn("prefix", bits.common_prefix(F.col("first"), F.col("last")))
+
+
+@query("SELECT p_partkey AS word, p_size % 6 AS k, coalesce(list_filter(range(64), lambda i: (p_partkey >> i) & 1 = 1)[p_size % 6 + 1], 64)::INTEGER AS at, bit_count(p_partkey)::INTEGER AS ones FROM part")
+def bit_select(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("word"), (F.col("p_size") % 6).alias("k"))
+    return part.withColumn("at", bits.select_bit(F.col("word"), F.col("k")).cast("int")).withColumn("ones", F.bit_count("word").cast("int"))
+
+
+@query("SELECT * FROM (VALUES (0, 'none', 0), (1, 'lz4', 1), (2, 'lz4', 1), (3, 'zstd', 1), (4, 'zstd', 3), (5, 'zstd', 7), (6, 'zstd', 9)) v(level, codec, strength)")
+def level_codecs(spark, sf_dir):
+    return spark.createDataFrame([(k, *v) for k, v in levels.CODECS.items()], "level int, codec string, strength int")
+
+
+@query()
+def fsst_dictionary(spark, sf_dir):
+    table = fsst.train_on(_table(spark, sf_dir, "documents"), "text", "doc_id")
+    return spark.createDataFrame(fsst.dictionary(table), "code int, length int, symbol binary")
