@@ -70,3 +70,12 @@ def running(df: DataFrame, block: str, order: tuple[str, ...], value: Column, in
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.sum("_v").over(Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_own", own).join(before.select(block, "_before"), block).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_v", "_own", "_before")
+
+
+def running_max(df: DataFrame, block: str, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
+    """Adds the largest value so far in order of (block, order), the row's own included."""
+    df = df.withColumn("_v", value)
+    most = df.groupBy(block).agg(F.max("_v").alias("_most"))
+    before = most.withColumn("_before", F.max("_most").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.max("_v").over(Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_own", own).join(before.select(block, "_before"), block).withColumn(into, F.greatest("_own", "_before")).drop("_v", "_own", "_before")
