@@ -61,6 +61,13 @@ class SuffixAutomaton:
         for v in sorted(range(len(self.len)), key=self.len.__getitem__):
             self.output[v] = v if v in self.short else self.output[self.link[v]] if v else -1
 
+    @classmethod
+    def of(cls, state: dict) -> SuffixAutomaton:
+        """The automaton of plain state, which is what travels to executors."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.len
         if (q := nxt[last].get(c)) is not None:
@@ -173,10 +180,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key:
     """key, n_words, spans (word positions of hits, merged) and items (sorted as strings) of each document."""
     df = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for automaton in automata(benchmark, window, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
         def run(batches, shared=shared):
-            match = shared.value.match
+            match = SuffixAutomaton.of(shared.value).match
             for b in batches:
                 n, spans, items = [], [], []
                 for t, old, had in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
@@ -214,10 +221,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
     at, out = docs.columns.index(text), docs
     count = docs.columns.index(n_chars) if n_chars in docs.columns else -1
     for automaton in automata(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
         def run(batches, shared=shared):
-            match = shared.value.match
+            match = SuffixAutomaton.of(shared.value).match
             for b in batches:
                 texts, keep = b.column(at).to_pylist(), []
                 for row, t in enumerate(texts):

@@ -64,6 +64,13 @@ class Filters:
             self.masks[k // 64, at.ravel()] |= np.uint64(1 << (k % 64))
             self.false[k] = (len(np.unique(at)) / self.size) ** HASHES
 
+    @classmethod
+    def of(cls, state: dict) -> Filters:
+        """The filters of plain state, which is what travels to executors."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def counts(self, words: list[str]) -> np.ndarray:
         """For each word: n-grams in each language's filter, then n-grams in all."""
         each = [grams(w) for w in words]
@@ -157,12 +164,13 @@ class Counter:
 
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # KEEP n-grams of each language
+    shared = docs.sparkSession.sparkContext.broadcast(vars(filters))  # KEEP n-grams of each language
 
     def run(batches):
-        counter = Counter(shared.value)
+        known = Filters.of(shared.value)
+        counter = Counter(known)
         for b in batches:
-            got = shared.value.decide(counter(b.column(1).to_pylist()))
+            got = known.decide(counter(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["k", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -171,12 +179,13 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
 
 def keep_known(docs: DataFrame, filters: Filters, least: float = 0.25, text: str = "text") -> DataFrame:
     """docs without those of no known language (``und``) or of a score under ``least``; all columns stay."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text)
+    shared, at = docs.sparkSession.sparkContext.broadcast(vars(filters)), docs.columns.index(text)
 
     def run(batches):
-        counter = Counter(shared.value)
+        known = Filters.of(shared.value)
+        counter = Counter(known)
         for b in batches:
-            got = shared.value.decide(counter(b.column(at).to_pylist()))
+            got = known.decide(counter(b.column(at).to_pylist()))
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
