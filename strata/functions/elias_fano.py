@@ -11,14 +11,14 @@ import struct
 import numpy as np
 
 CHUNK = 3087
-_HEAD = struct.Struct("<QIB")
+_HEAD, _SIZE = "<QIB", 13
 
 
 def encode(values: np.ndarray) -> bytes:
     v = np.asarray(values, np.uint64)
     n = len(v)
     if not n:
-        return _HEAD.pack(0, 0, 0)
+        return struct.pack(_HEAD, 0, 0, 0)
     if (v[1:] < v[:-1]).any():
         raise ValueError("the sequence decreases")
     rel = v - v[0]
@@ -28,15 +28,15 @@ def encode(values: np.ndarray) -> bytes:
     high = (rel >> np.uint64(width)).astype(np.int64) + np.arange(n)
     bits = np.zeros(int(high[-1]) + 1, np.uint8)
     bits[high] = 1
-    return _HEAD.pack(int(v[0]), n, width) + np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes() + np.packbits(bits, bitorder="little").tobytes()
+    return struct.pack(_HEAD, int(v[0]), n, width) + np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes() + np.packbits(bits, bitorder="little").tobytes()
 
 
 def decode(blob: bytes) -> np.ndarray:
-    first, n, width = _HEAD.unpack_from(blob)
+    first, n, width = struct.unpack_from(_HEAD, blob)
     if not n:
         return np.zeros(0, np.uint64)
-    at = _HEAD.size + (n * width + 7) // 8
-    low = np.unpackbits(np.frombuffer(blob, np.uint8, at - _HEAD.size, _HEAD.size), bitorder="little", count=n * width).reshape(n, width)
+    at = _SIZE + (n * width + 7) // 8
+    low = np.unpackbits(np.frombuffer(blob, np.uint8, at - _SIZE, _SIZE), bitorder="little", count=n * width).reshape(n, width)
     low = (low.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if width else np.zeros(n, np.uint64)
     high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at), bitorder="little"))[:n] - np.arange(n)
     return (high.astype(np.uint64) << np.uint64(width)) + low + np.uint64(first)

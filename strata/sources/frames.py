@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAGIC = 0xAB
-_FRAME = struct.Struct("<BIII")
+_FRAME, _SIZE = "<BIII", 13
 
 
 def _u32(c: Column) -> Column:
@@ -32,21 +32,21 @@ def parse(data: bytes) -> list[tuple[int, int, int, str]]:
     """(offset, key, length, status) of frames; status is ok, magic, crc or need_more."""
     out, at, end = [], 0, len(data)
     while at < end:
-        if end - at < _FRAME.size:
+        if end - at < _SIZE:
             out.append((at, 0, 0, "need_more"))
             break
-        magic, key, size, crc = _FRAME.unpack_from(data, at)
+        magic, key, size, crc = struct.unpack_from(_FRAME, data, at)
         bad = "magic" if magic != MAGIC else "crc" if zlib.crc32(data[at + 1 : at + 9]) != crc else ""
         if bad:
             out.append((at, 0, 0, bad))
             skip = data.find(bytes([MAGIC]), at + 1)
             at = skip if skip > 0 else end
             continue
-        if at + _FRAME.size + size > end:
+        if at + _SIZE + size > end:
             out.append((at, key, size, "need_more"))
             break
         out.append((at, key, size, "ok"))
-        at += _FRAME.size + size
+        at += _SIZE + size
     return out
 
 
