@@ -58,6 +58,12 @@ def test_against_all_pairs(frame):
     check(got, brute(docs))
 
 
+def test_small_blocks_lose_nothing(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    docs = fixture()
+    check(jaccard.join(frame(docs, "doc_id long, text string")).collect(), brute(docs))
+
+
 def test_query_against_all_pairs(spark):
     p = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{p}/documents.parquet").collect()]
