@@ -11,7 +11,9 @@ the sorted arrays of 64-bit shingle hashes.
 A tile is a star first: each of its sets is compared with the smallest one of its band. Components of
 these links then leave few tiles with more than one component, and only pairs of different components
 are compared in those, so a large group of near copies costs in proportion to its size, and no link
-between two components is lost. Tiles are streamed in order of shingle and size; none is collected.
+between two components is lost. Stars are streamed in order of shingle and size; tiles with more than
+one component are cut into cells of two blocks of at most BLOCK sets or so, in which bitmaps are compared
+in place, so that only pairs which may be linked leave a task.
 
 Sets are told apart by 64-bit hashes of their shingles' hashes and their size.
 
@@ -34,7 +36,9 @@ from .graph import components
 WORDS = 5
 COMMON = 65_536  # shingles that are put last, the commonest
 LOCALLY_COMMON = 6  # times in a task's share of the texts, to be looked at
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+BLOCK = 2_048  # sets of a tile that are compared with as many others in one place
+SHORT = 256  # bytes of the bitmaps that travel with tiles
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +102,44 @@ def overlap_bound(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
+def folded(bits: bytes, size: int = SHORT) -> bytes:
+    """A bitmap cut to a size at most, by OR of its halves."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def near_in_cell(n: np.ndarray, sid: np.ndarray, small: np.ndarray, c: np.ndarray, side: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of rows (the smaller set first) of different components, and of different sides if there are two, whose
+    bitmaps allow a link."""
+    order = np.lexsort((sid, n))
+    n, sid, small, c, side = n[order], sid[order], small[order], c[order], side[order]
+    two, out = side.min() != side.max(), []
+    width = np.array([len(bits[i]) for i in order])
+    matrix = {w: np.frombuffer(b"".join(bits[i] for i in order[width == w]), np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
+    place = np.zeros(len(n), np.int64)
+    for w in matrix:
+        place[width == w] = np.arange((width == w).sum())
+    for y in range(1, len(n)):
+        lo = int(np.searchsorted(n[:y], -(-3 * int(n[y]) // 4)))
+        x = lo + np.flatnonzero(small[lo:y] & (c[lo:y] != c[y]) & (sid[lo:y] != sid[y]))
+        if two:
+            x = x[side[x] != side[y]]
+        if not len(x):
+            continue
+        own = matrix[width[y]][place[y]]
+        while len(own):
+            at = x[width[x] == 8 * len(own)]
+            if len(at):
+                m = matrix[8 * len(own)][place[at]]
+                most = np.minimum(n[at] - np.bitwise_count(m & ~own).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(own & ~m).sum(axis=1, dtype=np.int64))
+                at = at[100 * most >= 75 * (n[at] + n[y] - most)]
+                out += [(int(sid[k]), int(sid[y])) for k in at]
+            own = own[: len(own) // 2] | own[len(own) // 2 :] if len(own) > 1 else own[:0]
+    return out
+
+
 def linked(na: int, nb: int, both: int) -> bool:
     return 100 * both >= 75 * (na + nb - both)
 
@@ -112,15 +154,16 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of k, sid, n and bits for each document, and rows of sid (a shingle) and n (how often) for shingles common in a task."""
-    schema = pa.schema([("k", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    """Rows of k, sid, n, bits and short (bits, folded) for each document, and rows of sid (a shingle) and n (how often) for shingles common in a task."""
+    schema = pa.schema([("k", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("short", pa.binary())])
 
     def run(batches):
         hashes, many, held, seen = _ByteHash(), [], 0, set()
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), hashes)
             sids = [set_hash(s) for s in sets]
-            yield _batch([b.column(0), sids, [len(s) for s in sets], [bitmap(s) if len(s) else None for s in sets]], schema)
+            bits = [bitmap(s) if len(s) else None for s in sets]
+            yield _batch([b.column(0), sids, [len(s) for s in sets], bits, [x and folded(x) for x in bits]], schema)
             for s, sid in zip(sets, sids):
                 if sid not in seen:  # copies say nothing about how common a shingle is
                     seen.add(sid)
@@ -135,9 +178,9 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def common(many):
         value, n = np.unique(np.concatenate(many), return_counts=True)
         on = n >= LOCALLY_COMMON
-        return _batch([[None] * int(on.sum()), value[on].view(np.int64), n[on], [None] * int(on.sum())], schema)
+        return _batch([[None] * int(on.sum()), value[on].view(np.int64), n[on], *[[None] * int(on.sum())] * 2], schema)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").mapInArrow(run, "k long, sid long, n long, bits binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").mapInArrow(run, "k long, sid long, n long, bits binary, short binary")
 
 
 def tile_rows(docs: DataFrame, common: np.ndarray, text: str = "text") -> DataFrame:
@@ -215,6 +258,43 @@ def stars(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "tile long, sid long, n int, small boolean, other long")
 
 
+def between(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of sets of different components in one tile whose bitmaps allow a link. rows: tile, sid, n, small, c."""
+    mixed = rows.groupBy("tile").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    left = rows.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    full = left.join(nodes.select("sid", "short"), "sid")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = full.withColumn("other", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    dealt = cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").select("tile", "i", "j", "sid", "n", "small", "c", "side", "short")
+
+    def run(batches):
+        now, held, pairs = None, [], set()
+        for b in batches:
+            for row in zip(*(x.to_pylist() for x in b.columns)):
+                if row[:3] != now:
+                    pairs.update(cell(held))
+                    now, held = row[:3], []
+                    if len(pairs) > FLUSH // 4:
+                        yield told(pairs)
+                        pairs = set()
+                held.append(row[3:])
+        pairs.update(cell(held))
+        if pairs:
+            yield told(pairs)
+
+    def cell(held):
+        if len(held) < 2 or len({r[3] for r in held}) < 2:
+            return []
+        sid, n, small, c, side, bits = zip(*held)
+        return near_in_cell(np.array(n, np.int64), np.array(sid, np.int64), np.array(small), np.array(c, np.int64), np.array(side), list(bits))
+
+    def told(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (a, b: ids of nodes) that reach the threshold. nodes: sid, k, n, bits."""
     side = lambda x: nodes.select(F.col("sid").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
@@ -255,7 +335,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = told.where("k is not null")
     top = told.where("k is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(COMMON).select("sid")
     common = np.array([r[0] for r in top.collect()][::-1], np.int64).view(np.uint64)
-    nodes = own.where("n > 0").groupBy("sid", "n").agg(F.min("k").alias("k"), F.first("bits").alias("bits"))
+    nodes = own.where("n > 0").groupBy("sid", "n").agg(F.min("k").alias("k"), F.first("bits").alias("bits"), F.first("short").alias("short"))
 
     tiles = written(stars(tile_rows(docs.where(F.col(key).isNotNull()), common, text)), "tiles")
     pairs = tiles.where("tile is null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
@@ -264,11 +344,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     label = nodes.select("sid", "k").join(first.withColumnRenamed("node", "k"), "k", "left").select("sid", F.coalesce("component", "k").alias("c"))
     rows = written(tiles.where("tile is not null").select("tile", "sid", "n", "small").join(label, "sid"), "rows")
-    mixed = rows.groupBy("tile").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("tile")
-    left = rows.join(mixed, "tile", "left_semi")
-    x, y = left.where("small").alias("x"), left.alias("y")
-    apart = (F.col("x.c") != F.col("y.c")) & (4 * F.col("x.n") >= 3 * F.col("y.n")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sid") < F.col("y.sid"))))
-    more = x.join(y, (F.col("x.tile") == F.col("y.tile")) & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    more = between(rows, nodes)
     rest = more.join(pairs, ["a", "b"], "left_anti")
     links = written(near.union(verify(rest, nodes, docs, key, text)), "links")
     final = components(links)
