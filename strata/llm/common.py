@@ -27,9 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder. Cuts lineage; survives the loss of any executor."""
+    """df as a table in the shared folder. Cuts lineage; survives the loss of any executor. The shuffle files that
+    it was made from are of no use any more; a collection on the driver lets Spark delete them at once."""
     path = f"{shared_dir(df.sparkSession)}/strata/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
