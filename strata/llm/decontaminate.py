@@ -216,34 +216,48 @@ def _offsets(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = 0.5, span_coverage: float = 0.0, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs without hit spans (where hits make up span_coverage of the words at least) and without documents of which hits make up drop_coverage. All columns stay; n_chars, if there, is counted anew."""
-    at, out = docs.columns.index(text), docs
+def remove_spans(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = 0.5, span_coverage: float = 0.0, text: str = "text", n_chars: str = "n_chars", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """docs without hit spans (where hits make up span_coverage of the words at least) and without documents of which hits make up drop_coverage. All columns stay; n_chars, if there, is counted anew.
+    The spans of all blocks are found in the text as it came and merged; the last block's task judges and cuts once."""
+    at = docs.columns.index(text)
     count = docs.columns.index(n_chars) if n_chars in docs.columns else -1
-    for automaton in automata(benchmark, window):
+    held, names = "spans", {c.lower() for c in docs.columns}
+    while held in names:
+        held += "_"
+    out = docs.withColumn(held, F.array().cast("array<array<int>>"))
+    blocks = automata(benchmark, window, block_words=block_words)
+    for i, automaton in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=i == len(blocks) - 1):
             match = SuffixAutomaton.of(shared.value).match
             for b in batches:
-                texts, keep = b.column(at).to_pylist(), []
-                for row, t in enumerate(texts):
+                *columns, had = b.columns
+                texts, found, keep = columns[at].to_pylist(), [], []
+                for row, (t, old) in enumerate(zip(texts, had.to_pylist())):
                     words = words_of(t)
-                    spans, _ = match(words)
+                    got, _ = match(words)
+                    spans = _merged(old + got) if old else got
+                    found.append(spans)
                     hit = sum(e - s for s, e in spans)
                     keep.append(not hit or hit < drop_coverage * len(words))
-                    if hit and keep[-1] and hit >= span_coverage * len(words):
+                    if last and hit and keep[-1] and hit >= span_coverage * len(words):
                         data, where = t.encode("utf-8", "surrogatepass"), _offsets(t.encode("utf-8", "surrogatepass"))
                         for s, e in reversed(spans):
                             data = data[: where[s][0]] + data[where[e - 1][1] :]
                         texts[row] = data.decode("utf-8", "surrogatepass")
-                columns = list(b.columns)
-                columns[at] = pa.array(texts, b.schema.field(at).type)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, b.schema.field(len(columns)).type)], schema=b.schema)
+                    continue
+                schema = pa.schema(list(b.schema)[:-1])
+                columns[at] = pa.array(texts, schema.field(at).type)
                 if count >= 0:
-                    columns[count] = pa.array([None if t is None else len(t) for t in texts]).cast(b.schema.field(count).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+                    columns[count] = pa.array([None if t is None else len(t) for t in texts]).cast(schema.field(count).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(run, docs.schema if i == len(blocks) - 1 else out.schema)
     return out
 
 

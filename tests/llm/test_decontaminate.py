@@ -51,6 +51,21 @@ def test_spans_go_and_the_rest_stays(frame):
     assert got[1].text == clean + "\nHERE: , end é" and got[1].n_chars == len(got[1].text)
 
 
+def test_blocks_are_judged_and_cut_together(frame):
+    def words(c, n):
+        return [f"{c}{i}" for i in range(n)]
+
+    p, q, x = words("p", 15), words("q", 15), words("x", 20)
+    share = " ".join(p + words("s", 20) + q)  # 30 % of hits by each item
+    overlap = " ".join(["start"] + x + words("e", 60))  # windows x0..x12 and x7..x19 are of two items
+    joined = " ".join(words("j", 40)[:7] + p + words("j", 40)[7:] + words("k", 40))  # the cut puts j0..j12 together
+    items = [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(x[:13])), (4, " ".join(x[7:])), (5, " ".join(words("j", 13)))]
+    docs = frame([(1, share), (2, overlap), (3, joined), (4, None)], "doc_id long, text string")
+    want = {2: " ".join(["start", "", *words("e", 60)]), 3: " ".join([*words("j", 7), "", *words("j", 40)[7:], *words("k", 40)]), 4: None}
+    for block in (d.BLOCK_WORDS, 1):
+        assert dict(map(tuple, d.remove_spans(docs, frame(items, "item_id long, text string"), block_words=block).collect())) == want
+
+
 def test_empty_tables(frame):
     docs, items = frame([], "doc_id long, text string"), frame([], "item_id long, text string")
     assert d.find_spans(docs, items).count() == 0
