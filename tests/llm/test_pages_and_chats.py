@@ -53,6 +53,23 @@ def test_repeated_branches_go_by_entropy(frame):
     assert site_style.extract(frame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_mirrors_keep_their_text(frame):
+    story = lambda c: "".join(f'<p class="x{k}">{c} sentence {k} of a story.</p>' for k in range(5))
+    classed = '<body><div class="x9">Site</div><article><p class="lead">{0} leads.</p><div class="body"><p>{0} goes on for longer than it led.</p></div></article></body>'
+    plain = '<body><div class="x9">Site of {1}</div><div class="x8">{0}</div></body>'
+    flat = "<body><p>{0} one.</p><p>{0} two.</p></body>"
+    rows = []
+    for i in range(20):
+        c = "Copied" if i < 18 else f"Unique{i}"
+        rows += [(i, "http://a.foo/", classed.format(c)), (100 + i, "http://b.foo/", plain.format(story(c), i)), (200 + i, "http://c.foo/", flat.format(c))]
+    got = {r.page_id: r.text for r in site_style.extract(frame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        c = "Copied" if i < 18 else f"Unique{i}"
+        assert got[i] == f"{c} leads.\n{c} goes on for longer than it led."
+        assert got[100 + i].endswith("\n".join(f"{c} sentence {k} of a story." for k in range(5)))
+        assert got[200 + i] == f"{c} one.\n{c} two."
+
+
 def test_furniture():
     page = """<html><head><title>x</title></head><body class="with-sidebar"><header>Top</header><div id="cookie-notice">c</div><div class="story"><h1>T</h1><p>a 1 < 2</p>
     <form>f<input></form></div><div class="comments"><article class="comment"><p>nice</p></article></div><aside>s</aside></body></html>"""
