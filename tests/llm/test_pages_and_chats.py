@@ -76,6 +76,22 @@ def test_furniture():
     assert [b.text for b in site_style.parse(page)[0] if not b.furniture] == ["T", "a 1 < 2"]
 
 
+def test_classes_do_not_hide_the_article():
+    def own(inner):
+        return [b.text for b in site_style.own_text(site_style.parse(f"<body><nav>n</nav>{inner}<footer>f</footer></body>")[0])]
+
+    article = "<article><h1>T</h1><p>some text</p></article>"
+    for page in (
+        '<main class="with-sidebar"><h1>T</h1><p>some text</p></main>', f'<div id=content class="no-sidebar">{article}</div>', '<div class="page has-header"><h1>T</h1><p>some text</p></div>',
+        '<div class="page header-fixed"><h1>T</h1><p>some text</p></div>', '<article class="post tags"><h1>T</h1><p>some text</p></article>', f'<div class="content right-sidebar">{article}<div class="sidebar">s</div></div>',
+        f'<main><div class="page header-fixed">{article}</div></main>', '<article><div class="entry-header"><h1>T</h1></div><p>some text</p><div class="tags">t</div></article>',
+        f'{article}<div class="sidebar"><article><p>a</p></article></div>', f'<div class="comments"><article class="comment"><p>a much longer comment</p></article></div>{article}',
+        '<div class="header"><h1>Site</h1></div><div><h1>T</h1><p>some text</p></div>',
+    ):
+        assert own(page) == ["T", "some text"], page
+    assert own("<noscript>js</noscript><article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>label</text></svg><noscript>plain</noscript></article>") == ["so x=2 holds", "label", "plain"]
+
+
 def test_events_fold_to_messages(frame):
     e = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "start", "assistant", ""), (1, 1, 2, "delta", None, "wro"), (1, 1, 3, "delta", None, "ng"), (1, 1, 4, "regenerate", None, None),
