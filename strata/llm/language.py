@@ -9,6 +9,10 @@ the language with the largest corrected share decides.
 Learned from labelled rows that are not held out; a language of more than ``max_rows`` of them gives
 about that many, taken by hash.
 
+``keep_known`` weighs longer n-grams more (short ones are shared by most languages of a script) and asks
+for a score of MARGIN times the one that all but a part QUANTILE of labelled rows reach, by filters that
+were learned from the others.
+
 Edge cases: null texts and texts without letters are ``und`` with score 0; ties go to the first
 language in alphabetical order; with no labelled text at all every text is ``und``; rows with a null
 language are not learned from; repeated rows give repeated results; other columns are ignored.
@@ -30,6 +34,10 @@ ORDERS = (2, 3, 4)
 MAX_ROWS = 3_000
 KEEP = 6_000  # n-grams of each language
 HASHES = 4
+WEIGHTS = (1, 2, 4)  # of n-grams by order, in keep_known
+QUANTILE = 0.1
+MARGIN = 0.7
+LEAST = 0.25  # where there are no rows to derive it from
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,7 +61,7 @@ class Filters:
     """The bit-sliced filters: languages in order, masks by position, false-positive share by language."""
 
     def __init__(self, by_language: dict[str, list[int]]) -> None:
-        self.languages = sorted(by_language)
+        self.languages, self.least = sorted(by_language), LEAST
         most = max((len(v) for v in by_language.values()), default=0)
         self.size = max(64, 1 << (16 * most).bit_length())
         lanes = (len(self.languages) + 63) // 64 or 1
@@ -71,18 +79,19 @@ class Filters:
         out.__dict__.update(state)
         return out
 
-    def counts(self, words: list[str]) -> np.ndarray:
-        """For each word: n-grams in each language's filter, then n-grams in all."""
+    def counts(self, words: list[str], weights: tuple[int, ...] | None = None) -> np.ndarray:
+        """For each word: n-grams in each language's filter, then n-grams in all; each counts as the weight of its order."""
         each = [grams(w) for w in words]
         sizes = np.array([len(g) for g in each])
         at = slots(np.fromiter((gram_hash(g) for e in each for g in e), np.int64, int(sizes.sum())), self.size)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        weight = np.fromiter((weights[len(g) - ORDERS[0]] for e in each for g in e), np.int64, int(sizes.sum())) if weights else np.int64(1)
         out = np.zeros((len(words), len(self.languages) + 1), np.int64)
         for lane, masks in enumerate(self.masks):
             hit = np.bitwise_and.reduce(masks[at], axis=0)
             for k in range(lane * 64, min(len(self.languages), lane * 64 + 64)):
-                out[:, k] = np.add.reduceat((hit >> np.uint64(k % 64)) & np.uint64(1), starts).astype(np.int64)
-        out[:, -1] = sizes
+                out[:, k] = np.add.reduceat(((hit >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64) * weight, starts)
+        out[:, -1] = np.add.reduceat(weight, starts) if weights else sizes
         return out
 
     def decide(self, counts: np.ndarray) -> list[tuple[str, float]]:
@@ -96,13 +105,25 @@ class Filters:
         return [(self.languages[b], float(s[b])) if t else ("und", 0.0) for b, s, t in zip(best, share, n[:, 0])]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, keep: int = KEEP) -> Filters:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, keep: int = KEEP, calibrated: bool = True) -> Filters:
+    """Filters of the labelled rows; calibrated, with the least score of texts in a known language."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out("k"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Filters({})
     part = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, max_rows / n))])
     sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20))
+    filters = _learned(sample, list(sizes), keep)
+    if calibrated:
+        fold = F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(5)) == 0
+        scored = _scored(sample.where(fold), _learned(sample.where(~fold), list(sizes), keep), WEIGHTS)
+        low = scored.where("lang_pred <> 'und'").agg(F.percentile_approx("score", QUANTILE)).first()[0]
+        filters.least = LEAST if low is None else MARGIN * low
+    return filters
+
+
+def _learned(sample: DataFrame, languages: list[str], keep: int) -> Filters:
+    """Filters of all rows (k, t, lang)."""
 
     def count(batches):
         sums: dict[tuple[str, int], int] = {}
@@ -126,7 +147,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     totals = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).where("n > 1")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
     top = totals.withColumn("rank", rank).where(F.col("rank") <= keep)  # keep rows for each language
-    by: dict[str, list[int]] = {name: [] for name in sizes}
+    by: dict[str, list[int]] = {name: [] for name in languages}
     for r in top.select("lang", "g").collect():
         by[r["lang"]].append(r["g"])
     return Filters(by)
@@ -135,8 +156,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 class Counter:
     """Counts of texts, with those of up to WORD_CACHE distinct words remembered."""
 
-    def __init__(self, filters: Filters) -> None:
-        self.filters, self.at = filters, {}
+    def __init__(self, filters: Filters, weights: tuple[int, ...] | None = None) -> None:
+        self.filters, self.weights, self.at = filters, weights, {}
         self.rows = np.zeros((0, len(filters.languages) + 1), np.int64)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -150,7 +171,7 @@ class Counter:
                 self.at, self.rows = {}, self.rows[:0]
                 new = list({w for f in found for w in f})
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.rows = np.concatenate([self.rows, self.filters.counts(new)])
+            self.rows = np.concatenate([self.rows, self.filters.counts(new, self.weights)])
         sizes = np.array([len(f) for f in found], np.int64)
         rows = np.fromiter((x for f in found for x in map(self.at.__getitem__, f)), np.int64, int(sizes.sum()))
         out = np.zeros((len(texts), self.rows.shape[1]), np.int64)
@@ -162,28 +183,34 @@ class Counter:
         return out
 
 
-def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred and score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(filters))  # KEEP n-grams of each language
+def _scored(texts: DataFrame, filters: Filters, weights: tuple[int, ...] | None = None) -> DataFrame:
+    """k, lang_pred and score of rows (k, t ...)."""
+    shared = texts.sparkSession.sparkContext.broadcast(vars(filters))  # KEEP n-grams of each language
 
     def run(batches):
         known = Filters.of(shared.value)
-        counter = Counter(known)
+        counter = Counter(known, weights)
         for b in batches:
             got = known.decide(counter(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["k", "lang_pred", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+    kind = texts.schema["k"].dataType.simpleString()
+    return texts.select("k", "t").mapInArrow(run, f"k {kind}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred and score of each whole text."""
+    return _scored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), filters).withColumnRenamed("k", key)
 
 
-def keep_known(docs: DataFrame, filters: Filters, least: float = 0.25, text: str = "text") -> DataFrame:
-    """docs without those of no known language (``und``) or of a score under ``least``; all columns stay."""
+def keep_known(docs: DataFrame, filters: Filters, least: float | None = None, text: str = "text") -> DataFrame:
+    """docs without those of no known language (``und``) or of a score under ``least``, by default that of the filters; all columns stay."""
     shared, at = docs.sparkSession.sparkContext.broadcast(vars(filters)), docs.columns.index(text)
+    least = filters.least if least is None else least
 
     def run(batches):
         known = Filters.of(shared.value)
-        counter = Counter(known)
+        counter = Counter(known, WEIGHTS)
         for b in batches:
             got = known.decide(counter(b.column(at).to_pylist()))
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))

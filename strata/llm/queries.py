@@ -36,7 +36,7 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.predict(docs, language.fit(docs))
+    found = language.predict(docs, language.fit(docs, calibrated=False))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -26,6 +26,24 @@ def test_language_odd_rows(frame, spark):
     assert language.predict(frame([], "doc_id long, text string"), filters).count() == 0
 
 
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura. Il governo ha annunciato ieri nuove misure per sostenere le famiglie e le imprese colpite dalla crisi economica.",
+    "De regering heeft gisteren nieuwe maatregelen aangekondigd om gezinnen en bedrijven te ondersteunen die getroffen zijn door de economische crisis. Het weer wordt morgen bewolkt.",
+    "Hallitus ilmoitti eilen uusista toimenpiteistä perheiden ja yritysten tukemiseksi, joihin viime vuosien talouskriisi on vaikuttanut. Huomenna on pilvistä.",
+    "Rząd ogłosił wczoraj nowe środki mające na celu wsparcie rodzin i przedsiębiorstw dotkniętych kryzysem gospodarczym ostatnich lat.",
+]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_foreign_texts_go_and_clean_ones_stay(frame, spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang")
+    planted = frame([(-1 - i, t, None) for i, t in enumerate(FOREIGN)], docs.schema)
+    both = docs.union(planted)
+    kept = {r.doc_id for r in language.keep_known(both, language.fit(both)).collect()}
+    clean = {r.doc_id for r in docs.where("length(text) > 0").collect()}
+    assert not any(i < 0 for i in kept) and kept <= clean and len(kept) >= 0.998 * len(clean)
+
+
 def test_filters_return_every_language_that_has_a_gram():
     words = {"a": ["eins", "zwei"], "b": ["one", "two", "zwei"]}
     f = language.Filters({k: [language.gram_hash(g) for w in v for g in language.grams(w)] for k, v in words.items()})
