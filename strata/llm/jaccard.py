@@ -356,7 +356,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest id. All columns stay; rows without an id stay."""
-    gone = join(docs, key, text).where("component_id <> " + f"`{key}`").select(key)
-    some = docs.where(F.col(key).isNotNull()).join(gone.distinct(), key, "left_anti").select(*docs.columns)
-    return some.dropDuplicates([key]).union(docs.where(F.col(key).isNull()))
+    """docs with one document of each component: that of the smallest id. Each text of an id that comes with several is
+    a document of its own, repeated rows are one. All columns stay; rows without an id stay."""
+    some, lost = docs.where(F.col(key).isNotNull()), docs.where(F.col(key).isNull())
+    told = F.xxhash64(F.col(text))
+    at = key
+    if not some.groupBy(key).agg(F.min(told).alias("lo"), F.max(told).alias("hi")).where("lo <> hi").isEmpty():
+        at = "row"
+        while at.lower() in {c.lower() for c in docs.columns}:
+            at += "_"
+        # numbers of the texts in order of their ids; of a range of ids each, so no task has all
+        texts = written(some.select(F.col(key).alias("i"), told.alias("h")).distinct().orderBy("i", "h").withColumn("u", F.monotonically_increasing_id()), "texts")
+        some = written(some.join(texts, (some[key] == texts["i"]) & (told == texts["h"])).select(F.col("u").alias(at), *[some[c] for c in docs.columns]), "numbered")
+    gone = join(some, at, text).where("component_id <> " + f"`{at}`").select(at)
+    return some.join(gone.distinct(), at, "left_anti").dropDuplicates([at]).select(*docs.columns).union(lost)

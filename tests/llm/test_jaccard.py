@@ -88,5 +88,13 @@ def test_one_of_each_group_stays(frame):
     assert sorted((r.doc_id or -1, r.n or "") for r in got.collect()) == [(-1, "z"), (1, "y"), (7, ""), (9, "w")]
 
 
+def test_texts_of_one_id_are_decided_apart(frame):
+    copied, other, third = "a b c d e f", "other words are in here too", "and some third text that is like none"
+    docs = [(1, copied, "a"), (5, copied, "b"), (5, other, "c"), (5, other, "c"), (8, other, "d"), (8, third, "e"), (8, None, "f"), (None, copied, "g")]
+    got = jaccard.keep_first(frame(docs, "doc_id long, text string, row string"))
+    assert got.columns == ["doc_id", "text", "row"]
+    assert sorted(r.row for r in got.collect()) == ["a", "c", "e", "f", "g"]
+
+
 def test_empty_table(frame):
     assert jaccard.join(frame([], "doc_id long, text string")).count() == 0
