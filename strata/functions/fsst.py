@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,18 @@ def train(values: list[bytes]) -> Table:
 
 
 def train_on(df: DataFrame, column: str, key: str) -> Table:
-    """A table from the values of least key hash, SAMPLE_BYTES or a little more of them; the same at every run."""
-    rows = df.select(F.col(column).cast("binary").alias("v"), F.col(key).alias("k")).where("length(v) > 0")
-    sample, size = [], 0
-    for r in rows.withColumn("v", F.substring("v", 1, SAMPLE_BYTES)).orderBy(F.xxhash64("k"), "k").limit(512).collect():
-        sample.append(bytes(r["v"]))
-        size += len(r["v"])
-        if size >= SAMPLE_BYTES:
+    """A table from the whole values of least key hash, SAMPLE_BYTES or a little more of them; the same at every run."""
+    v = F.col(column).cast("binary")
+    rows = df.select(v.alias("v"), F.length(v).alias("n"), F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.xxhash64(v).alias("w")).where("n > 0")
+    order, most, sizes = ("h", "k", "w"), 256, []
+    while True:  # of each task's rows, no more than are likely to be needed go to the driver
+        sizes = [r["n"] for r in rows.select("n", *order).orderBy(*order).limit(most).collect()]
+        ends = list(accumulate(sizes))
+        if len(sizes) < most or ends[-1] >= SAMPLE_BYTES:
             break
-    return train(sample)
+        most *= 4
+    taken = sum(e - n < SAMPLE_BYTES for e, n in zip(ends, sizes))
+    return train([bytes(r["v"]) for r in rows.orderBy(*order).limit(taken).select("v").collect()])
 
 
 def _map(df: DataFrame, column: str, into: str, make) -> DataFrame:

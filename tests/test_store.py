@@ -139,3 +139,13 @@ def test_segments(spark, tmp_path):
     segments.replace(spark.range(3).toDF("key"), f"{path}/one")
     segments.replace(spark.range(2).toDF("key"), f"{path}/one")
     assert spark.read.parquet(f"{path}/one").count() == 2
+
+
+def test_fsst_sample_is_whole_values_up_to_its_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fsst, "train", seen.append)
+    keys = spark.range(5000).selectExpr("id", "lpad(id, 8, 'k') as v", "repeat('x', 40000) as t")
+    fsst.train_on(keys, "v", "id")
+    fsst.train_on(keys, "t", "id")
+    fsst.train_on(keys.limit(3), "v", "id")
+    assert [(len(v), sum(map(len, v))) for v in seen] == [(2048, 16384), (1, 40000), (3, 24)]
