@@ -44,17 +44,19 @@ def level_table(segments: DataFrame) -> DataFrame:
     return levels.withColumn("base", F.coalesce(used, "target_base"))
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    """Whole quotient of two whole numbers, 0 if the second is 0."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return F.when(b == 0, F.lit(0)).otherwise(F.call_function("div", a, F.when(b == 0, F.lit(1)).otherwise(b)))
+
+
 def level_score(level: Column, files: Column, actual: Column, target: Column) -> Column:
-    first = F.when(files > L0_FULL, F.lit(FULL)).otherwise(F.expr(f"{_name(files)} * {SCALE} div {L0_FILES}"))
-    ratio = F.least(F.expr(f"case when {_name(target)} > 0 then {_name(actual)} * {SCALE} div {_name(target)} else 0 end"), F.lit(FULL - 1))
+    first = F.when(files > L0_FULL, F.lit(FULL)).otherwise(_div(files * SCALE, L0_FILES))
+    ratio = F.least(_div(actual * SCALE, target), F.lit(FULL - 1))
     rest = F.when(target == 0, F.when(actual > 0, F.lit(FULL)).otherwise(F.lit(0))).otherwise(ratio)
     return F.when(level == 0, first).otherwise(rest).cast("long")
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString()
-
-
 def level_scores(segments: DataFrame) -> DataFrame:
     """Levels 0 to 5 with their score; the last level has none."""
     t = level_table(segments).where(F.col("level") < LAST)
@@ -62,7 +64,7 @@ def level_scores(segments: DataFrame) -> DataFrame:
 
 
 def file_scores(segments: DataFrame) -> DataFrame:
-    score = F.when(F.col("size") == 0, F.lit(FULL)).otherwise(F.expr(f"case when size > 0 then rmed * {SCALE} div size else 0 end"))
+    score = F.when(F.col("size") == 0, F.lit(FULL)).otherwise(_div(F.col("rmed") * SCALE, F.col("size")))
     return segments.withColumn("score", score.cast("long"))
 
 
