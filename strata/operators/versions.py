@@ -5,10 +5,13 @@ Layers are numbered from the newest (0). Versions order rows within a layer.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import is_tombstone
+from ..scratch import written
 
 ENTRY_OVERHEAD = 64  # bytes that an entry counts besides its key
 
@@ -33,9 +36,10 @@ def merge(*layers: DataFrame, key: str = "key", order: tuple[str, ...] = ("ver",
 
 
 def discards(log: DataFrame, key: str = "key", order: tuple[str, ...] = ("ver",), layer: str = "layer") -> DataFrame:
-    """Rows overwritten within their own layer."""
-    w = Window.partitionBy(layer, key).orderBy(*[F.desc(c) for c in order])
-    return log.withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
+    """Rows overwritten within their own layer: all but those of each (layer, key)'s newest version. A version is one row.
+    The newest are found by a partial and a final aggregate and met by version too, so no key's rows meet in one task."""
+    newest = log.groupBy(layer, key).agg(F.max(F.struct(*order)).alias("newest")).select(layer, key, "newest.*")
+    return log.join(newest, [layer, key, *order], "left_anti").select(*log.columns)
 
 
 def multi_get(newest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
@@ -55,27 +59,79 @@ def compact(newest: DataFrame, deepest: bool, flag: str = "flag") -> DataFrame:
     return live(newest, flag) if deepest else newest
 
 
-def numbered(df: DataFrame, block: str, order: tuple[str, ...], into: str = "n") -> DataFrame:
-    """Adds the position (from 0) in order of (block, order). Counts of blocks meet in one place, rows do not."""
-    sizes = df.groupBy(block).agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy(block).orderBy(*order)) - 1
-    return df.withColumn("_own", own).join(before.select(block, "_before"), block).withColumn(into, F.col("_own") + F.col("_before")).drop("_own", "_before")
-
-
-def running(df: DataFrame, block: str, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
-    """Adds the running sum of a value in order of (block, order), the row's own included."""
-    df = df.withColumn("_v", value)
-    sums = df.groupBy(block).agg(F.sum("_v").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.sum("_v").over(Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_own", own).join(before.select(block, "_before"), block).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_v", "_own", "_before")
-
-
-def running_max(df: DataFrame, block: str, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
-    """Adds the largest value so far in order of (block, order), the row's own included."""
-    df = df.withColumn("_v", value)
-    most = df.groupBy(block).agg(F.max("_v").alias("_most"))
-    before = most.withColumn("_before", F.max("_most").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.max("_v").over(Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_own", own).join(before.select(block, "_before"), block).withColumn(into, F.greatest("_own", "_before")).drop("_v", "_own", "_before")
+def _sorted(df: DataFrame, order: tuple[str, ...], also=None) -> tuple[DataFrame, Column, Column]:
+    """df as a table whose files follow each other in order, with columns for a row's file and its place in it. One
+    shuffle, by ranges of the order. also: what is done to each sorted part before it is written."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(also(parts) if also else parts), F.col("_metadata.file_name"), F.col("_metadata.row_index")
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], into: str = "n") -> DataFrame:
+    """Adds the position (from 0) in an order; positions of equal rows are dealt in any way. df is sorted by ranges and
+    written once; only the number of rows of each file meets in one place. A column named ``into`` is replaced."""
+    rows, file, place = _sorted(df.drop(into), order)
+    name, at = _free(rows, "file"), _free(rows, "at")
+    held = rows.select("*", file.alias(name), place.alias(at))
+    sizes = held.groupBy(name).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return held.join(F.broadcast(sizes.select(name, before.alias("before"))), name).withColumn(into, (F.col(at) + F.col("before")).cast("long")).select(*rows.columns, into)
+
+
+def _folded(df: DataFrame, order: tuple[str, ...], value: Column, into: str, fold, over, both) -> DataFrame:
+    """A running fold of whole numbers: by NumPy within each sorted part, then over the parts' last values."""
+    rows = df.drop(into).withColumn(into, value.cast("long"))
+
+    def run(batches):
+        last = None
+        for b in batches:
+            x = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            if len(x):
+                x = fold.accumulate(x if last is None else np.concatenate([[last], x]))
+                x = x if last is None else x[1:]
+                last = x[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.int64())], schema=b.schema)
+
+    done, file, _ = _sorted(rows, order, lambda parts: parts.mapInArrow(run, parts.schema))
+    name = _free(done, "file")
+    held = done.select("*", file.alias(name))
+    ends = held.groupBy(name).agg(F.max(into).alias("end"))
+    before = over("end").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    return held.join(F.broadcast(ends.select(name, before.alias("before"))), name).withColumn(into, both(F.col(into), F.col("before"))).select(*done.columns)
+
+
+def running(df: DataFrame, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
+    """Adds the running sum of a whole number of 0 or more (null: 0) in an order, the row's own included."""
+    return _folded(df, order, F.coalesce(value, F.lit(0)), into, np.add, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
+
+
+def running_max(df: DataFrame, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
+    """Adds the largest whole number so far (nulls aside) in an order, the row's own included."""
+    return _folded(df, order, F.coalesce(value, F.lit(-(2**63))), into, np.maximum, F.max, lambda own, before: F.greatest(own, before))
+
+
+def rotated(log: DataFrame, writer: str, order: tuple[str, ...], size: Column, limit: int) -> DataFrame:
+    """writer, segment, n, bytes and the first and last order (of its first column) of each segment. A writer's entries
+    go to one segment after another; one that has reached the limit is closed before the next entry, so it may overshoot
+    by one entry. A group is one writer's log; each step jumps a whole segment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        by = np.lexsort([table.column(f"o{i}").to_numpy() for i in reversed(range(len(order)))])
+        ends, place = np.cumsum(table.column("size").to_numpy()[by]), table.column("o0").to_numpy()[by]
+        out, start, done = [], 0, 0
+        while start < len(ends):
+            stop = min(int(np.searchsorted(ends, done + limit)) + 1, len(ends))
+            out.append((len(out), stop - start, int(ends[stop - 1]) - done, int(place[start]), int(place[stop - 1])))
+            start, done = stop, int(ends[stop - 1])
+        columns = list(zip(*out))
+        return pa.table({"writer": pa.array([table.column("writer")[0].as_py()] * len(out), pa.int64()), **{name: pa.array(c, pa.int64()) for name, c in zip(("segment", "n", "bytes", "first", "last"), columns)}})
+
+    rows = log.select(F.col(writer).cast("long").alias("writer"), *[F.col(c).cast("long").alias(f"o{i}") for i, c in enumerate(order)], size.cast("long").alias("size"))
+    return rows.groupBy("writer").applyInArrow(run, "writer long, segment long, n long, bytes long, first long, last long").withColumnRenamed("writer", writer)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 MAGIC = 0xAB
 _FRAME, _SIZE = "<BIII", 13
+PIECE = 1024 * 1024
 
 
 def _u32(c: Column) -> Column:
@@ -64,13 +65,37 @@ def scan(logs: DataFrame, data: str = "data", log: str = "log") -> DataFrame:
 
 def append(frames: DataFrame, log: str, order: str, frame_col: str = "frame") -> DataFrame:
     """Logs as rows: the frames of each log, one after another. A group is one log file, whose size its writer bounds."""
-    rows = F.array_sort(F.collect_list(F.struct(order, frame_col)))
-    joined = F.aggregate("f", F.unhex(F.lit("")), lambda a, x: F.concat(a, x[frame_col]))
-    return frames.groupBy(log).agg(rows.alias("f")).select(F.col(log).alias("log"), joined.alias("data"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(frame_col).cast("string").alias("frame"))))
+    joined = F.array_join(F.transform("rows", lambda x: x["frame"]), "").cast("binary")  # strings of any bytes
+    return frames.groupBy(F.col(log).alias("log")).agg(rows.alias("rows")).select("log", joined.alias("data"))
+
+
+def write_files(logs: DataFrame, path: str) -> None:
+    """Each log (log, data) as a file in a folder of its own. The writer ends a file by a line feed, which is no frame."""
+    logs.select("log", F.col("data").cast("string").alias("value")).write.partitionBy("log").text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """log, data and size of the log files under a path, whole. A file's size is bounded by its writer's rotation."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("log").cast("long").alias("log"), F.col("content").alias("data"), F.col("length").alias("size"))
 
 
 def fetch(positions: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Adds value, the bytes at (wal_id, offset, len); null where they run past the end."""
-    j = positions.join(payloads.select(F.col("log").alias("wal_id"), "data"), "wal_id")
-    value = F.when(F.col("offset") + F.col("len") <= F.octet_length("data"), F.substring("data", F.col("offset").cast("int") + 1, F.col("len").cast("int")))
-    return j.withColumn("value", value).drop("data")
+    """Adds value, the bytes at (wal_id, offset, len); null where they run past the end or there is no such log.
+
+    Logs are cut into pieces of PIECE bytes, and a position meets the pieces that it lies in, so no log is copied for
+    each of its positions."""
+    size = F.octet_length("data")
+    pieces = payloads.select("log", "data", F.explode(F.sequence(F.lit(0), F.floor(size / PIECE).cast("int"))).alias("piece"))
+    pieces = pieces.select("log", "piece", F.substring("data", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("bytes"))
+    first, last = F.floor(F.col("offset") / PIECE), F.floor((F.col("offset") + F.greatest(F.col("len"), F.lit(1)) - 1) / PIECE)
+    asked = positions.select("*", F.monotonically_increasing_id().alias("id"), F.sequence(first.cast("int"), last.cast("int")).alias("spanned"))
+    asked = asked.select(F.struct(*[asked[i] for i in range(len(positions.columns))]).alias("row"), asked[len(positions.columns)].alias("id"), F.explode(asked[len(positions.columns) + 1]).alias("piece"))
+    met = asked.join(pieces, (F.col("row.wal_id") == F.col("log")) & (asked["piece"] == pieces["piece"]), "left")
+    start = F.greatest(F.col("row.offset") - asked["piece"].cast("long") * PIECE, F.lit(0))
+    end = F.least(F.col("row.offset") + F.col("row.len") - asked["piece"].cast("long") * PIECE, F.lit(PIECE))
+    part = F.struct(asked["piece"].alias("piece"), F.substring("bytes", start.cast("int") + 1, (end - start).cast("int")).cast("string").alias("part"))
+    parts = met.groupBy("id").agg(F.first("row").alias("row"), F.array_sort(F.collect_list(part)).alias("parts"))
+    value = F.array_join(F.transform("parts", lambda x: x["part"]), "").cast("binary")
+    whole = (F.octet_length(value) == F.col("row.len")) & F.forall("parts", lambda x: x["part"].isNotNull())
+    return parts.select("row.*", F.when(whole, value).alias("value"))
