@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, flags, fsst
 from ..functions.bounds import Range, key_filter, overlaps
 from ..operators import levels, ranges, sequences, versions
+from ..scratch import folder
 from ..sources import frames, segments
 from ..streaming import ingest
 
@@ -34,14 +32,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='strata-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 def _shape(events: DataFrame) -> DataFrame:
     tomb = F.when(F.col("event_type") == "error", 8).otherwise(0)
     return events.select(
@@ -68,9 +58,9 @@ newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER B
 """
 
 
-@query(LOG + "SELECT * FROM newest WHERE key >= 2 AND key < 4000 AND flag & 8 = 0")
+@query(LOG + "SELECT * FROM newest WHERE flag & 8 = 0")
 def kv_get_latest(spark, sf_dir):
-    return versions.live(versions.latest(_log(spark, sf_dir).where(key_filter(F.col("key"), 2, 4000))))
+    return versions.live(versions.latest(_log(spark, sf_dir)))
 
 
 @query("SELECT c_custkey AS key, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS ver FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -89,7 +79,7 @@ def kv_multi_get_miss(spark, sf_dir):
 @query("SELECT o_orderkey AS key, o_custkey, row_number() OVER (ORDER BY o_orderkey)::BIGINT AS rank FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 3000")
 def kv_range_scan(spark, sf_dir):
     df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey").where(key_filter(F.col("key"), 1000, 3000))
-    return versions.numbered(df.withColumn("b", F.expr("key div 10000")), "b", ("key",)).select("key", "o_custkey", (F.col("n") + 1).alias("rank"))
+    return versions.numbered(df, ("key",)).select("key", "o_custkey", (F.col("n") + 1).alias("rank"))
 
 
 @query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey DESC)::BIGINT AS rank FROM orders WHERE o_orderkey > 1000 AND o_orderkey <= 9000 QUALIFY rank <= 25")
@@ -275,9 +265,11 @@ def manifest_replay(spark, sf_dir):
     return levels.replay(ops).select("id", "seq")
 
 
-@query(LOG + "SELECT * EXCLUDE layer FROM layers WHERE layer = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ver DESC) = 1")
+@query(LOG + "SELECT * FROM layers QUALIFY row_number() OVER (PARTITION BY key ORDER BY layer, ver DESC) = 1")
 def compact_merge(spark, sf_dir):
-    return versions.compact(versions.latest(_layers(spark, sf_dir).where("layer = 1").drop("layer")), deepest=False)
+    """Both layers as one; tombstones stay, as older rows may lie below."""
+    log = _layers(spark, sf_dir)
+    return versions.compact(versions.merge(log.where("layer = 0").drop("layer"), log.where("layer = 1").drop("layer")), deepest=False)
 
 
 @query(LOG + "SELECT * FROM newest WHERE flag & 8 = 0")
@@ -287,16 +279,28 @@ def compact_bottom(spark, sf_dir):
 
 @query("SELECT event_id // 50 AS segment, count(*)::BIGINT AS n, (count(*) * 72)::BIGINT AS bytes, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
 def rotate_segments(spark, sf_dir):
-    """Entries of 8-byte keys; a segment that has reached 3,600 bytes is closed before the next entry."""
-    log = versions.numbered(_log(spark, sf_dir), "wal_id", ("ver",))
+    """Entries of 8-byte keys of one writer; a segment that has reached 3,600 bytes is closed before the next entry."""
+    log = versions.numbered(_log(spark, sf_dir), ("ver",))
     entries = -(-3600 // (8 + versions.ENTRY_OVERHEAD))
     return log.groupBy(F.expr(f"n div {entries}").alias("segment")).agg(F.count("*").alias("n"), (F.count("*") * 72).alias("bytes"), F.min("ver").alias("first"), F.max("ver").alias("last"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS wal_id, event_id AS ver, (strlen(user_id::VARCHAR) + 64)::BIGINT AS b FROM events),
+l AS (SELECT wal_id, list({'ver': ver, 'held': b, 'seg': 0::BIGINT, 'b': b} ORDER BY ver) AS x FROM e GROUP BY wal_id),
+n AS (SELECT wal_id, x, len(x) AS size FROM l),
+r AS (
+  SELECT wal_id, 1 AS i, x[1].b AS held, 0::BIGINT AS seg, x[1].ver AS ver, x[1].b AS b FROM n
+  UNION ALL SELECT r.wal_id, i + 1, CASE WHEN held >= 1000 THEN x[i + 1].b ELSE held + x[i + 1].b END, CASE WHEN held >= 1000 THEN seg + 1 ELSE seg END, x[i + 1].ver, x[i + 1].b FROM r JOIN n ON r.wal_id = n.wal_id AND i < size)
+SELECT wal_id, seg AS segment, count(*)::BIGINT AS n, sum(b)::BIGINT AS bytes, min(ver)::BIGINT AS first, max(ver)::BIGINT AS last FROM r GROUP BY wal_id, seg""")
+def rotate_by_bytes(spark, sf_dir):
+    """Each writer's log in segments of 1,000 bytes of entries, whose keys are of several lengths."""
+    return versions.rotated(_log(spark, sf_dir), "wal_id", ("ver",), versions.entry_bytes(F.col("key")), 1000)
+
+
 def _seq(spark, sf_dir) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") + 1).alias("v"), F.expr("doc_id div 1000").alias("b"))
-    docs = versions.running(docs, "b", ("doc_id",), F.col("v"), "val")
-    return versions.numbered(docs, "b", ("doc_id",), "pos").select(F.col("pos").cast("long").alias("pos"), "val")
+    """pos and val (the characters so far) of documents in order of their ids."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") + 1).alias("v"))
+    return versions.numbered(versions.running(docs, ("doc_id",), F.col("v"), "val"), ("doc_id",), "pos").select("pos", "val")
 
 
 def _targets(spark, sf_dir) -> DataFrame:
@@ -331,16 +335,16 @@ def seq_range(spark, sf_dir):
 
 @query(SEQ + "SELECT pos, val, row_number() OVER (ORDER BY val DESC)::BIGINT AS rank FROM seq WHERE val >= 100000 AND val < 900000")
 def seq_rev_range(spark, sf_dir):
-    part = _seq(spark, sf_dir).where("val >= 100000 and val < 900000").withColumn("b", -F.expr("val div 65536"))
-    return versions.numbered(part.withColumn("back", -F.col("val")), "b", ("back",), "n").select("pos", "val", (F.col("n") + 1).alias("rank"))
+    part = _seq(spark, sf_dir).where("val >= 100000 and val < 900000")
+    return versions.numbered(part.withColumn("back", -F.col("val")), ("back",)).select("pos", "val", (F.col("n") + 1).alias("rank"))
 
 
 @query(SEQ + ", steps AS (SELECT c_custkey AS step, max(c_custkey * 1777 % 500009) OVER (ORDER BY c_custkey) AS t FROM customer) SELECT step, t, pos, val FROM steps ASOF JOIN seq ON t <= val")
 def seq_seek(spark, sf_dir):
     """A cursor that only moves forward: each step seeks the largest target so far."""
     customer = _table(spark, sf_dir, "customer")
-    steps = customer.select(F.col("c_custkey").alias("step"), (F.col("c_custkey") * 1777 % 500009).alias("v"), F.expr("c_custkey div 1000").alias("b"))
-    steps = versions.running_max(steps, "b", ("step",), F.col("v"), "t")
+    steps = customer.select(F.col("c_custkey").alias("step"), (F.col("c_custkey") * 1777 % 500009).alias("v"))
+    steps = versions.running_max(steps, ("step",), F.col("v"), "t").select("step", "t")
     return steps.join(sequences.next_ge(_seq(spark, sf_dir), steps), "t").select("step", "t", "pos", "val")
 
 
@@ -350,8 +354,8 @@ def seq_chunks(spark, sf_dir):
 
 
 def _dups(spark, sf_dir) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("val"), F.expr("l_orderkey div 1000").alias("b"))
-    return versions.numbered(rows, "b", ("val",), "pos").select(F.col("pos").cast("long").alias("pos"), "val")
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("val"))
+    return versions.numbered(rows, ("val",), "pos").select("pos", "val")
 
 
 @query(SEQ + ", first AS (SELECT val, min(pos) AS pos FROM dup GROUP BY val) SELECT t, pos, val FROM (SELECT DISTINCT c_custkey * 3 AS t FROM customer) ASOF JOIN first ON t <= val")
@@ -364,7 +368,20 @@ def ef_roundtrip(spark, sf_dir):
     return sequences.unpack(sequences.pack(_dups(spark, sf_dir)))
 
 
-@query()
+@query(SEQ + "SELECT t, pos, val FROM targets ASOF JOIN seq ON t <= val")
+def ef_next_ge(spark, sf_dir):
+    """Successors from Elias-Fano blobs: the chunks' maxima lead to the one blob that is opened."""
+    return sequences.packed_next_ge(sequences.pack(_seq(spark, sf_dir), 64), _targets(spark, sf_dir))
+
+
+@query(SEQ + "SELECT pos, val FROM seq JOIN customer ON pos = c_custkey * 3")
+def ef_get(spark, sf_dir):
+    return sequences.packed_get(sequences.pack(_seq(spark, sf_dir), 64), _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("t")), 64)
+
+
+@query(SEQ + """, c AS (SELECT count(*)::BIGINT AS n, (max(val) - min(val))::BIGINT AS top FROM seq GROUP BY pos // 3087),
+w AS (SELECT n, top, floor(log2(greatest(top + 1, n) // n) + 1e-9)::INTEGER AS width FROM c)
+SELECT sum(13 + (n * width + 7) // 8 + ((top >> width) + n + 7) // 8) * 8.0 / sum(n) AS bits_per_elem FROM w""")
 def ef_bits_per_elem(spark, sf_dir):
     packed = sequences.pack(_seq(spark, sf_dir))
     return packed.agg((F.sum(F.octet_length("blob")) * 8 / F.sum("n")).alias("bits_per_elem"))
@@ -412,9 +429,16 @@ def _frames(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.expr("event_id div 500").alias("wal"), "event_id", frames.frame(F.col("event_id"), F.encode("props", "UTF-8")).alias("frame"))
 
 
+def _files(spark, logs: DataFrame) -> DataFrame:
+    """The logs, written as files and read again."""
+    path = folder(spark)
+    frames.write_files(logs, path)
+    return frames.read_files(spark, path)
+
+
 @query("SELECT event_id AS key, strlen(props)::BIGINT AS len FROM events")
 def frame_scan(spark, sf_dir):
-    return frames.scan(frames.append(_frames(spark, sf_dir), "wal", "event_id")).where("status = 'ok'").select("key", "len")
+    return frames.scan(_files(spark, frames.append(_frames(spark, sf_dir), "wal", "event_id"))).where("status = 'ok'").select("key", "len")
 
 
 @query("SELECT event_id AS key FROM events WHERE event_id % 17 <> 3 AND event_id % 29 <> 5")
@@ -424,7 +448,7 @@ def frame_resync(spark, sf_dir):
     crc = F.concat(F.substring(f, F.lit(1), F.lit(9)), F.unhex(F.hex(F.bitwise_not(F.conv(F.hex(F.substring(f, F.lit(10), F.lit(1))), 16, 10).cast("int")).bitwiseAND(255))), F.substring(f, F.lit(11), F.octet_length(f)))
     magic = F.concat(F.unhex(F.lit("00")), F.substring(f, F.lit(2), F.octet_length(f)))
     damaged = _frames(spark, sf_dir).withColumn("frame", F.when(F.col("event_id") % 17 == 3, crc).when(F.col("event_id") % 29 == 5, magic).otherwise(f))
-    return frames.scan(frames.append(damaged, "wal", "event_id")).where("status = 'ok'").select("key")
+    return frames.scan(_files(spark, frames.append(damaged, "wal", "event_id"))).where("status = 'ok'").select("key")
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
@@ -432,14 +456,14 @@ def payload_fetch(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 50").alias("wal_id"), F.encode("text", "UTF-8").alias("body"))
     before = Window.partitionBy("wal_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = docs.select("doc_id", "wal_id", F.octet_length("body").cast("long").alias("len")).withColumn("offset", F.coalesce(F.sum("len").over(before), F.lit(0)))
-    payloads = frames.append(docs.select("wal_id", "doc_id", F.col("body").alias("frame")), "wal_id", "doc_id")
+    payloads = _files(spark, frames.append(docs.select("wal_id", "doc_id", F.col("body").alias("frame")), "wal_id", "doc_id"))
     return frames.fetch(at, payloads).select("doc_id", F.md5("value").alias("md5"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 2000 AND o_orderkey < 5000")
 def seg_pruned_scan(spark, sf_dir):
     """Orders written as sorted segments of two levels; a range read opens only the files whose zone overlaps it."""
-    path, orders = _scratch(spark), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    path, orders = folder(spark), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     segments.write(orders.where("o_orderkey % 2 = 0"), path, "o_orderkey", 8, 3)
     segments.write(orders.where("o_orderkey % 2 = 1"), path, "o_orderkey", 8, 1)
     return segments.read(spark, path, "o_orderkey", 2000, 5000)
@@ -447,7 +471,7 @@ def seg_pruned_scan(spark, sf_dir):
 
 @query(LOG + "SELECT * FROM newest WHERE flag & 8 = 0")
 def stream_ingest_latest(spark, sf_dir):
-    path = _scratch(spark)
+    path = folder(spark)
     schema = _table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ingest.run(source, path, _shape)
@@ -456,8 +480,8 @@ def stream_ingest_latest(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey DESC)::BIGINT AS rank FROM orders")
 def kv_reverse_scan(spark, sf_dir):
-    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (-F.col("o_orderkey")).alias("back"), (-F.expr("o_orderkey div 10000")).alias("b"))
-    return versions.numbered(df, "b", ("back",)).select("key", (F.col("n") + 1).alias("rank"))
+    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (-F.col("o_orderkey")).alias("back"))
+    return versions.numbered(df, ("back",)).select("key", (F.col("n") + 1).alias("rank"))
 
 
 @query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey)::BIGINT AS rank FROM orders QUALIFY rank <= 10")
@@ -476,10 +500,58 @@ def kv_exists(spark, sf_dir):
 @query(LOG + "SELECT key, ver FROM newest")
 def log_compaction(spark, sf_dir):
     """A log rewritten to its newest rows in place of itself; what is read back afterwards."""
-    path = f"{_scratch(spark)}/log"
-    segments.replace(_log(spark, sf_dir), path)
-    segments.replace(versions.latest(spark.read.parquet(path)), path)
-    return spark.read.parquet(path).select("key", "ver")
+    path = folder(spark)
+    segments.replace(_log(spark, sf_dir), path, "key", 4)
+    segments.replace(versions.latest(segments.read(spark, path, "key")), path, "key", 4)
+    return segments.read(spark, path, "key").select("key", "ver")
+
+
+def _store(spark, sf_dir, batches: int) -> str:
+    """A store of the log, flushed to level 0 in batches of versions; the folder."""
+    path, log = folder(spark), _log(spark, sf_dir)
+    most = (log.agg(F.max("ver")).first()[0] or 0) + 1
+    for i in range(batches):
+        part = log.where((F.col("ver") >= most * i // batches) & (F.col("ver") < most * (i + 1) // batches))
+        segments.write(versions.latest(part), path, "key", 1, flag="flag")
+    return path
+
+
+@query(LOG + "SELECT * FROM newest WHERE flag & 8 = 0")
+def compaction_apply(spark, sf_dir):
+    """Six flushes, then compaction steps until none is due; what is live then, from the deepest level."""
+    path = _store(spark, sf_dir, 6)
+    while segments.compact_once(spark, path, "key", ("ver",), "flag", 4):
+        pass
+    segments.vacuum(spark, path)
+    return segments.latest(spark, path, "key", ("ver",))
+
+
+@query(LOG + "SELECT * FROM log WHERE ver < (SELECT max(ver) + 1 FROM log) * 2 // 4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ver DESC) = 1")
+def manifest_snapshot(spark, sf_dir):
+    """What the store's second version had, after two more flushes, a compaction and a vacuum that keeps that version."""
+    path = _store(spark, sf_dir, 4)
+    segments.compact_once(spark, path, "key", ("ver",), "flag", 2)
+    segments.vacuum(spark, path, keep_from=2)
+    return segments.latest(spark, path, "key", ("ver",), upto=2)
+
+
+@query(LOG + "SELECT key, ver, flag, row_number() OVER (ORDER BY key DESC)::BIGINT AS rank FROM newest WHERE key >= 100 AND key < 1000")
+def seg_reverse_range(spark, sf_dir):
+    """A reverse range read over all segments, newest version of each key."""
+    rows = segments.latest(spark, _store(spark, sf_dir, 3), "key", ("ver",), 100, 1000)
+    return versions.numbered(rows.withColumn("back", -F.col("key")), ("back",)).select("key", "ver", "flag", (F.col("n") + 1).alias("rank"))
+
+
+@query("""WITH s AS (SELECT o_orderkey // 7 AS seg, hex(encode(min(o_orderkey::VARCHAR))) AS min, hex(encode(max(o_orderkey::VARCHAR))) AS max FROM orders GROUP BY 1)
+SELECT c_custkey AS rid, count(*)::BIGINT AS n FROM customer JOIN s ON max >= hex(encode(c_custkey::VARCHAR)) AND min < hex(encode(c_custkey::VARCHAR || 'z')) GROUP BY 1""")
+def overlap_binary_keys(spark, sf_dir):
+    """Ranges of binary keys (all that begin with a number) against many segments, which overlap each other."""
+    orders = _table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 7").alias("seg"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("k"))
+    k = F.col("c_custkey").cast("string")
+    asked = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("rid"), F.encode(k, "UTF-8").alias("lo"), F.lit(True).alias("lo_inc"), F.encode(F.concat(k, F.lit("z")), "UTF-8").alias("hi"), F.lit(False).alias("hi_inc")
+    )
+    return ranges.overlap_cut(asked, ranges.zone_map(orders, "seg", "k")).groupBy("rid").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey // 100 AS seg, min(o_orderkey::VARCHAR) AS first, max(o_orderkey::VARCHAR) AS last, array_to_string(list_transform(list_filter(range(1, 20), lambda i: i <= least(length(min(o_orderkey::VARCHAR)), length(max(o_orderkey::VARCHAR))) AND min(o_orderkey::VARCHAR)[1:i] = max(o_orderkey::VARCHAR)[1:i]), lambda i: min(o_orderkey::VARCHAR)[i:i]), '') AS prefix FROM orders GROUP BY 1")
@@ -495,9 +567,32 @@ def bit_select(spark, sf_dir):
     return part.withColumn("at", bits.select_bit(F.col("word"), F.col("k")).cast("int")).withColumn("ones", F.bit_count("word").cast("int"))
 
 
-@query("SELECT * FROM (VALUES (0, 'none', 0), (1, 'lz4', 1), (2, 'lz4', 1), (3, 'zstd', 1), (4, 'zstd', 3), (5, 'zstd', 7), (6, 'zstd', 9)) v(level, codec, strength)")
+@query("SELECT * FROM (VALUES (0, 'UNCOMPRESSED'), (1, 'LZ4_RAW'), (2, 'LZ4_RAW'), (3, 'ZSTD'), (4, 'ZSTD'), (5, 'ZSTD'), (6, 'ZSTD')) v(level, codec), (SELECT count(*)::BIGINT AS n FROM orders) c")
 def level_codecs(spark, sf_dir):
-    return spark.createDataFrame([(k, *v) for k, v in levels.CODECS.items()], "level int, codec string, strength int")
+    """Orders written as segments of each level: the codec that the files' own footers name, and their rows."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    orders, out = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), []
+    for level in levels.CODECS:
+        path = folder(spark)
+        segments.write(orders, path, "o_orderkey", 2, level)
+        found, n = set(), 0
+        for r in segments.manifest(spark, path).select("file").collect():  # two files
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(r["file"]), conf))
+            for block in reader.getFooter().getBlocks():
+                found.add(block.getColumns()[0].getCodec().name())
+                n += block.getRowCount()
+            reader.close()
+        out.append((level, ",".join(sorted(found)), n))
+    return spark.createDataFrame(out, "level int, codec string, n long")
+
+
+@query("""WITH h AS (SELECT ('0x' || x)::BIGINT AS byte, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents) GROUP BY 1)
+SELECT arg_min(b, (coalesce(n, 0), b))::INTEGER AS terminator FROM range(256) r(b) LEFT JOIN h ON b = byte""")
+def byte_terminator(spark, sf_dir):
+    """The least frequent byte, the first of equal ones."""
+    counts = _counts(_table(spark, sf_dir, "documents"), "text", False).withColumnRenamed("code", "b")
+    every = spark.range(256).select(F.col("id").alias("b"))
+    return every.join(F.broadcast(counts), "b", "left").agg(F.min_by("b", F.struct(F.coalesce("n", F.lit(0)), "b")).cast("int").alias("terminator"))
 
 
 @query()

@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from strata.functions.bounds import Range, is_before, overlaps
 from strata.operators import levels, ranges, sequences, versions
 from strata.plans import queries as store
 from strata.sources import frames, segments
+from strata.streaming import ingest
 
 MIB = 1024 * 1024
 
@@ -130,15 +132,149 @@ def test_frames(spark):
 def test_segments(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     df = spark.range(1000).withColumnRenamed("id", "key")
-    segments.write(df, path, "key", 4, 6)
+    assert segments.version(spark, path) == 0 and segments.write(df, path, "key", 4, 6) == 1
     got = segments.read(spark, path, "key", 100, 200, hi_inc=True)
     assert sorted(r.key for r in got.collect()) == list(range(100, 201)) and len(got.inputFiles()) < 4
     assert segments.read(spark, path, "key", 5000).count() == 0
     df.write.parquet(f"{path}/data/lost")
-    assert segments.vacuum(spark, path) == 1 and segments.read(spark, path, "key").count() == 1000
-    segments.replace(spark.range(3).toDF("key"), f"{path}/one")
-    segments.replace(spark.range(2).toDF("key"), f"{path}/one")
-    assert spark.read.parquet(f"{path}/one").count() == 2
+    assert segments.vacuum(spark, path) == 0  # it may be about to be committed
+    assert segments.vacuum(spark, path, grace=0) == 1 and segments.read(spark, path, "key").count() == 1000
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    """Readers keep what their version has until it is vacuumed; what is staged is not seen; a repeated commit is one."""
+    path = f"file://{tmp_path}/s"
+    rows = lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "key")
+    segments.write(rows(0, 10), path, "key", 1, generation="a")
+    held = segments.read(spark, path, "key")
+    assert segments.replace(rows(5, 8), path, "key") == 2
+    name, ops = segments.stage(rows(100, 110), path, "key", 1)
+    assert segments.read(spark, path, "key").count() == 3 and held.count() == 10 and segments.read(spark, path, "key", upto=1).count() == 10
+    assert segments.vacuum(spark, path, keep_from=1) == 0 and held.count() == 10
+    assert segments.commit(spark, path, name, ops) == segments.commit(spark, path, name, ops) == 3
+    assert segments.write(rows(0, 10), path, "key", 1, generation="a") == 1 and segments.read(spark, path, "key").count() == 13
+    assert segments.vacuum(spark, path, grace=0) == 1 and segments.read(spark, path, "key").count() == 13
+
+
+def test_compaction_loop(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    for i in range(5):
+        df = spark.range(100).selectExpr("encode(lpad(id, 3, '0'), 'utf-8') as key", f"cast({i} as long) as ver", f"cast(if(id % 10 = {i}, 8, 0) as int) as flag")
+        segments.write(df, path, "key", 2, flag="flag")
+    newest = segments.latest(spark, path, "key", ("ver",))
+    assert newest.count() == 100 and newest.where("flag = 8").count() == 10
+    assert segments.compact_once(spark, path, "key", ("ver",), "flag", 2) == (0, 6)
+    assert segments.compact_once(spark, path, "key", ("ver",), "flag", 2) is None
+    live = segments.manifest(spark, path)
+    assert live.agg(F.sum("n"), F.min("level"), F.max("end_offset") > 0).first()[:] == (90, 6, True)
+    assert segments.latest(spark, path, "key", ("ver",), b"010", b"020").count() == 9
+    assert segments.vacuum(spark, path, grace=0) == 5 and segments.read(spark, path, "key").count() == 90
+
+
+def test_settings(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    own = segments.Settings.of(4, {"strength": 7}, {"strength": 2, "dictionary": False}, {"row_group": 1024, "parquet.page.size": 512})
+    assert (own.codec, own.strength, own.dictionary, own.row_group, own.more) == ("zstd", 2, False, 1024, {"parquet.page.size": 512})
+    for level, codec in ((0, "UNCOMPRESSED"), (1, "LZ4_RAW"), (6, "ZSTD")):
+        path = tmp_path / str(level)
+        segments.write(spark.range(50_000).selectExpr("id as key", "id % 7 as x"), f"file://{path}", "key", 1, level, settings=segments.Settings.of(level, {"row_group": 100_000}))
+        meta = pq.ParquetFile(next(path.glob("data/*/part-*"))).metadata
+        assert meta.row_group(0).column(0).compression in (codec, codec.removesuffix("_RAW")) and meta.num_row_groups > 1
+
+
+def test_a_retried_batch_is_there_once(spark, tmp_path):
+    src, path = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.range(10).selectExpr("id as key").write.parquet(src)
+    stream = lambda: spark.readStream.schema("key long").parquet(src)
+    ingest.run(stream(), path, lambda df: df)
+    shutil.rmtree(tmp_path / "out" / "progress")  # as if the batch's end had not been noted
+    ingest.run(stream(), path, lambda df: df)
+    spark.range(10, 15).selectExpr("id as key").write.mode("append").parquet(src)
+    ingest.run(stream(), path, lambda df: df)
+    assert ingest.table(spark, path).count() == 15 and ingest.table(spark, path, upto=1).count() == 10
+
+
+def test_rotation_by_bytes(spark):
+    """A segment of keys that count 68 bytes each, closed once 70 are reached, holds two; one entry may be over."""
+    log = spark.createDataFrame([(1, i, "key1") for i in range(5)] + [(2, 7, "k" * 500), (2, 9, "k")], "w long, ver long, key string")
+    got = versions.rotated(log, "w", ("ver",), versions.entry_bytes(F.col("key")), 70).orderBy("w", "segment").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 2, 136, 0, 1), (1, 1, 2, 136, 2, 3), (1, 2, 1, 68, 4, 4), (2, 0, 1, 564, 7, 7), (2, 1, 1, 65, 9, 9)]
+
+
+def test_positions_and_running_folds(spark):
+    r = random.Random(3)
+    rows = [(i, r.randrange(1000), r.choice([None, r.randrange(50)])) for i in r.sample(range(10**6), 300)]
+    df = spark.createDataFrame([(*x, "x", "y") for x in rows], "id long, n long, v long, file string, at string")
+    ordered = sorted(rows)
+    got = {x.id: x.n for x in versions.numbered(df, ("id",)).collect()}
+    assert got == {x[0]: i for i, x in enumerate(ordered)}
+    for f, into, of, start in ((versions.running, "s", lambda a, b: a + (b or 0), 0), (versions.running_max, "n", lambda a, b: max(a, -(2**63) if b is None else b), -(2**63))):
+        got, last = {x.id: x[into] for x in f(df, ("id",), F.col("v"), into).collect()}, start
+        for i, _, v in ordered:
+            last = of(last, v)
+            assert got[i] == last
+    empty = df.limit(0)
+    assert versions.numbered(empty, ("id",)).count() == versions.running(empty, ("id",), F.col("v"), "s").count() == 0
+
+
+def test_overlap_by_cuts_for_any_keys(spark):
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 4)))
+    segs = [(i, *sorted((key(), key()))) for i in range(60)]
+    asked = [(i, r.choice([None, key()]), r.random() < 0.5, r.choice([None, key()]), r.random() < 0.5) for i in range(60)]
+    s = spark.createDataFrame(segs, "seg int, min string, max string")
+    q = spark.createDataFrame(asked, "rid int, lo string, lo_inc boolean, hi string, hi_inc boolean")
+    pairs = lambda df: sorted((x.rid, x.seg) for x in df.collect())
+    want = pairs(ranges.overlap(q, s))
+    sane = {i for i, lo, _, hi, _ in asked if lo is None or hi is None or lo <= hi}
+    assert [p for p in pairs(ranges.overlap(q, s, 3, 8)) if p[0] in sane] == [p for p in want if p[0] in sane]
+    raw = lambda df, *names: df.withColumns({n: F.encode(n, "utf-8") for n in names})
+    assert [p for p in pairs(ranges.overlap_cut(raw(q, "lo", "hi"), raw(s, "min", "max"), 5)) if p[0] in sane] == [p for p in want if p[0] in sane]
+    assert ranges.overlap_cut(q, s.limit(0)).count() == 0
+
+
+def test_search_on_blobs(spark):
+    v = [2, 3, 5, 7, 7, 11, 13, 17, 19, 23, 29, 500, 501]
+    packed = sequences.pack(spark.createDataFrame(list(enumerate(v)), "pos long, val long"), 4)
+    asked = spark.createDataFrame([(t,) for t in (0, 6, 7, 8, 12, 30, 502)], "t long")
+    got = {r.t: (r.pos, r.val) for r in sequences.packed_next_ge(packed, asked).collect()}
+    assert got == {t: next((i, x) for i, x in enumerate(v) if x >= t) for t in (0, 6, 7, 8, 12, 30)}
+    assert {r.pos: r.val for r in sequences.packed_get(packed, asked, 4).collect()} == {0: 2, 6: 13, 7: 17, 8: 19, 12: 501}
+
+
+def test_log_files_and_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(frames, "PIECE", 7)
+    data = {1: bytes(range(256)), 2: b"\xff\xab\n" * 9, 3: b"x"}
+    logs = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "log long, data binary")
+    frames.write_files(logs, f"file://{tmp_path}/logs")
+    read = frames.read_files(spark, f"file://{tmp_path}/logs")
+    assert {r.log: bytes(r.data) for r in read.collect()} == {k: v + b"\n" for k, v in data.items()}
+    asked = [(1, 0, 256), (1, 13, 1), (1, 6, 2), (1, 250, 7), (2, 5, 20), (2, 5, 20), (3, 0, 0), (3, 9, 1), (4, 0, 1), (1, 7, 7)]
+    got = frames.fetch(spark.createDataFrame(asked, "wal_id long, offset long, len long"), logs).collect()
+    want = [(*a, data[a[0]][a[1] : a[1] + a[2]] if a[0] in data and a[1] + a[2] <= len(data[a[0]]) else None) for a in asked]
+    key = lambda x: (x[:3], x[3] or b"")
+    assert sorted([(r.wal_id, r.offset, r.len, None if r.value is None else bytes(r.value)) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_tables_of_symbols():
+    r = random.Random(1)
+    assert fsst.hash_of(0) == 0 and fsst.hash_of(1) == 2971215073 ^ (2971215073 >> 15)
+    for _ in range(100):
+        values = [bytes(r.choices([255, 254, 97, 98, 0], k=r.randrange(0, 40))) for _ in range(r.randrange(1, 8))]
+        try:
+            table = fsst.train(values)
+        except ValueError:
+            continue
+        sizes = [len(s) for s in table.symbols]
+        long, heads = [n for n in sizes if n > 2], {s[:2] for s in table.symbols if len(s) > 2}
+        twos = [s in heads for s in table.symbols if len(s) == 2]
+        assert sizes == [2] * len(twos) + sorted(long) + [1] * sizes.count(1) and twos == sorted(twos, reverse=True)
+        coded = table.encode_all(values)
+        assert table.decode_all(coded) == values and [table.encode(v) for v in values] == coded and [table.decode(c) for c in coded] == values
+        assert all(len(c) <= 2 * len(v) for c, v in zip(coded, values))
+    with pytest.raises(ValueError):
+        fsst.train([b""])
 
 
 def test_fsst_sample_is_whole_values_up_to_its_size(spark, monkeypatch):
