@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_CACHE
+from .common import WORD_CACHE, in_batches
 
 #: Words of more bytes than this are merged with a heap: the fold's work grows with the square of a word.
 FOLD_BYTES = 64
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["k", "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids binary").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(in_batches, run, f"k {kind}, n_tokens long, ids binary").withColumnRenamed("k", key)
 
 
 def encode_sql(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int = 65_536) -> DataFrame:
@@ -273,9 +273,9 @@ def encode_sql(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
     kind = docs.schema[key].dataType.simpleString()
     return (
         docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-        .mapInArrow(numbered, f"k {kind}, words binary, new array<string>, anew boolean")
+        .transform(in_batches, numbered, f"k {kind}, words binary, new array<string>, anew boolean")
         .select("k", "words", folded(F.col("new")).alias("new_ids"), "new", "anew")
-        .mapInArrow(joined, f"k {kind}, n_tokens long, ids binary")
+        .transform(in_batches, joined, f"k {kind}, n_tokens long, ids binary")
         .withColumnRenamed("k", key)
     )
 
@@ -294,4 +294,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
             out = [b"".join(map(piece, np.frombuffer(x or b"", np.uint32).tolist())) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))
+    return encoded.transform(in_batches, run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE = 300_000  # words that a task remembers before it starts anew; bounds its memory
+WORD_CACHE = 150_000  # words that a task remembers before it starts anew; bounds its memory
+BATCH_BYTES = "4m"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,21 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine if Spark runs in this
+    process alone, as in tests; an error on a cluster, whose executors could not see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='strata-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder. Cuts lineage; survives the loss of any executor. The shuffle files that
-    it was made from are of no use any more; a collection on the driver lets Spark delete them at once."""
-    path = f"{shared_dir(df.sparkSession)}/strata/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder. Cuts lineage; survives the loss of any executor. Spark deletes the shuffle
+    files that it was made from when it is written, as nothing reads them again. ``discard`` deletes the table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strata/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_BYTES or so (or one row), however long the texts are: what the JVM
+    and Python hold at once does not grow with the texts of 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 
 K = 10
 SEGMENT = 16  # bits; about log2 of BLOCK
@@ -43,7 +43,7 @@ def codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
                     out.append(np.packbits(np.array(v) >= 0).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dims", "code"])
 
-    return vectors.select(F.col(key).cast("long"), F.col(vector)).mapInArrow(run, "id long, dims int, code binary")
+    return vectors.select(F.col(key).cast("long"), F.col(vector)).transform(in_batches, run, "id long, dims int, code binary")
 
 
 class Block:

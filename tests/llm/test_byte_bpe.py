@@ -53,3 +53,12 @@ def test_query_is_the_library(spark, library):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_very_long_texts(frame, ranks, library):
+    texts = ["ab " * 400_000, "\u00e9" * 300_000, " " * 500_000 + "x", "1" * 100_001]
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    for r in byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).collect():
+        assert bytes(r.decoded).decode() == texts[r.doc_id]
+        if r.doc_id != 1:
+            assert np.frombuffer(r.ids, np.uint32).tolist() == library.encode_ordinary(texts[r.doc_id])
