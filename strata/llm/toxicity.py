@@ -2,12 +2,14 @@
 
 Features are the presence of hashed words, word pairs and pairs with one or two words between them in
 a whole text. Weights are learned with per-coordinate rates and L1 sparsity in one pass order that
-depends on ids alone, from a bounded sample of labelled rows (``max_rows``, the ones of least hash);
+depends on ids alone, from a bounded sample of labelled rows (``max_rows``, the ones of least hash, and
+of these, in that order, those that fit into ``max_features`` in all, each with all of its features);
 the few non-zero weights are broadcast, and every whole text is scored without a shuffle.
 
 Edge cases: null and empty texts have no features and get the bias' score; rows without a label, or
 labelled both ways, are not learned from; with no labels at all every score is 0.5; repeated rows give
-repeated scores; other columns are ignored.
+repeated scores; very long texts are scored whole; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, held_out, mix, runs
+from .common import WordHash, held_out, in_batches, mix, runs
 
 BITS = 20
 MAX_ROWS = 16_000
+MAX_FEATURES = 60_000_000  # of four bytes, in the one task that learns
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -63,7 +66,7 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, epochs: int = 8, bits: int = BITS) -> list[tuple[int, float]]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, epochs: int = 8, bits: int = BITS, max_features: int = MAX_FEATURES) -> list[tuple[int, float]]:
     """Non-zero weights, learned from labelled rows that are not held out."""
     sample = (
         labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -86,9 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["k", "y", "f"])
 
     def train(batches):
-        model, seen = Ftrl((1 << bits) + 1), []
+        model, seen, room = Ftrl((1 << bits) + 1), [], max_features
         for b in batches:
-            seen += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            for f, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if 4 * room >= len(f):
+                    room -= len(f) // 4
+                    seen.append((f, y))
         for _ in range(epochs):
             for f, y in seen:
                 model.learn(np.concatenate([[0], np.frombuffer(f, np.int32)]), y)
@@ -96,9 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         w = model.weights(used)
         yield pa.RecordBatch.from_arrays([pa.array(used[w != 0], pa.int64()), pa.array(w[w != 0], pa.float64())], names=["i", "w"])
 
-    one = rows.select("k", "y", "t").select("k", "t", "y").mapInArrow(extract, f"k {docs.schema[key].dataType.simpleString()}, y int, f binary")
+    one = rows.select("k", "y", "t").select("k", "t", "y").transform(in_batches, extract, f"k {docs.schema[key].dataType.simpleString()}, y int, f binary")
     ordered = one.withColumn("h", F.xxhash64("k")).repartition(1).sortWithinPartitions("h", "k", "f").select("f", "y")
-    return sorted((r.i, r.w) for r in ordered.mapInArrow(train, "i long, w double").collect())
+    return sorted((r.i, r.w) for r in ordered.transform(in_batches, train, "i long, w double").collect())
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
@@ -121,4 +127,4 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(in_batches, run, f"k {kind}, score double").withColumnRenamed("k", key)
