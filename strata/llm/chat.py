@@ -10,9 +10,12 @@ Template: ``<s>`` and, for each turn, ``[INST]role[/INST]text</s>``. Inside role
 and ``[`` become ``\\e``, ``\\l`` and ``\\b``, so that no control string can be there, and back again when
 read. The loss mask is the list of spans of the assistant's texts.
 
-DataFrame functions only. Edge cases: null texts and roles are empty; null conversation ids are one
-conversation; null sequences come first; ties are ordered by role and text; repeated rows are repeated
-turns; an empty table gives an empty one; other columns are ignored.
+DataFrame functions only. A streamed message has the sequence of its first event and the first role that
+any of its events names (none: empty); an event of it that is delivered again counts once; after a
+delete only a start, edit or regenerate brings it back, deltas do not. Other edge cases: null texts and
+roles are empty, null kinds are whole messages; null conversation ids are one conversation; null
+sequences come first; ties are ordered by role and text; repeated rows of kind ``message`` are repeated
+turns; very long texts are whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,13 +50,13 @@ def rebuild(events: DataFrame, conv: str = "conv_id", message: str = "message",
     one = e.groupBy("conv_id", "m").agg(log.alias("log"))
     turn = lambda x: F.struct(x["seq"].alias("seq"), x["role"].alias("role"), x["text"].alias("text"))
     whole = F.transform(F.filter("log", lambda x: x["kind"] == "message"), turn)
-    parts = F.filter("log", lambda x: x["kind"] != "message")
+    parts = F.array_distinct(F.filter("log", lambda x: x["kind"] != "message"))
     last = F.array_max(F.transform("parts", lambda x, i: F.when(x["kind"].isin(*RESETS), i)))
     since = F.slice("parts", F.coalesce(F.col("last"), F.lit(0)) + 1, F.size("parts"))
     body = F.array_join(F.transform(F.filter(since, lambda x: x["kind"].isin("start", "edit", "delta")), lambda x: x["text"]), "")
-    who = F.coalesce(F.element_at(F.filter(F.transform("parts", lambda x: x["role"]), lambda r: r != ""), 1), F.lit(""))
-    gone = F.coalesce(F.element_at("parts", F.coalesce(F.col("last"), F.lit(0)) + 1)["kind"] == "delete", F.lit(False))
-    streamed = F.when((F.size("parts") > 0), F.array(F.struct(F.element_at("parts", 1)["seq"].alias("seq"), who.alias("role"), body.alias("text"))))
+    who = F.coalesce(F.get(F.filter(F.transform("parts", lambda x: x["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
+    gone = F.coalesce(F.get("parts", F.col("last"))["kind"] == "delete", F.lit(False))
+    streamed = F.when((F.size("parts") > 0), F.array(F.struct(F.get("parts", F.lit(0))["seq"].alias("seq"), who.alias("role"), body.alias("text"))))
     nothing = F.slice(F.col("whole"), 1, 0)
     folded = (
         one.select("conv_id", whole.alias("whole"), parts.alias("parts"))
@@ -63,6 +66,21 @@ def rebuild(events: DataFrame, conv: str = "conv_id", message: str = "message",
     return folded.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list("turns"))).alias("turns"))
 
 
+def streamed(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The events of rows that are turns, as an application that streams them would log them: an assistant's turn is
+    started, streamed in part, regenerated and streamed in two pieces, any other turn is started in part and then edited.
+    Each row is a message of its own; seq is its turn, then the step."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    half = F.floor(F.length(whole) / 2).cast("int")
+    first, second = F.substring(whole, F.lit(1), half), F.substring(whole, half + 1, F.length(whole))
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    said = F.array(event("start", F.lit("")), event("delta", first), event("regenerate", F.lit("")), event("delta", first), event("delta", second))
+    steps = F.when(F.col(role) == "assistant", said).otherwise(F.array(event("start", first), event("edit", whole)))
+    each = rows.select(F.col(conv).alias("conv_id"), F.monotonically_increasing_id().alias("message"), F.col(turn).alias("turn"), F.col(role).alias("role"), steps.alias("steps"))
+    each = each.select("conv_id", "message", "turn", "role", F.posexplode("steps").alias("step", "event"))
+    return each.select("conv_id", "message", F.struct("turn", "step").alias("seq"), F.col("event.kind").alias("kind"), "role", F.col("event.text").alias("text"))
+
+
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted and loss (spans start, size of the assistant's texts, in characters from 1)."""
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE))
