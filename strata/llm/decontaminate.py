@@ -6,24 +6,32 @@ of the longest match that ends at each word is tracked. A word is hit if it lies
 share of hit words reaches the coverage limit of a span, or always with limit 0; a document whose
 share reaches ``drop_coverage`` goes as a whole.
 
-Items are held in blocks of at most BLOCK_WORDS words, each with an automaton of its own that is
-broadcast, so what is broadcast stays bounded however many items there are.
+Items are dealt to blocks of about BLOCK_WORDS words, and a longer item is cut into pieces that overlap by a
+window less one word. One block at a time comes to the driver, becomes an automaton that is broadcast, and
+all documents stream through it; with several blocks the spans found so far are written between them. So
+what the driver and the executors hold is bounded however many items there are, and results do not depend
+on blocks: spans of all of them are merged before anything is judged or cut.
 
 Edge cases: null and empty texts have no words, no hits and are not contaminated; items without words
 and items without an id match nothing (the latter are not counted); repeated items count once by id;
-repeated documents give repeated rows; other columns are ignored, or kept by ``remove_spans``.
+repeated documents give repeated rows; very long texts and items are whole; ties do not occur; an empty
+benchmark hits nothing and an empty table of documents gives an empty one; other columns are ignored, or
+kept by ``remove_spans``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import discard, in_batches, written
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000  # an automaton of so many takes about 130 MB in each Python worker
 #: A-Z to a-z; every other byte that is no part of a word to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -151,19 +159,43 @@ class SuffixAutomaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
-    """Automata of all items, each of at most block_words words or of one item."""
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
-    room = block_words
-    rows = benchmark.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull()).toLocalIterator()
-    for item, body in rows:
-        words = words_of(body)
-        if len(words) > room and blocks[-1]:
-            blocks.append([])
-            room = block_words
-        room -= len(words)
-        blocks[-1].append((item, words))
-    return [SuffixAutomaton(b, window) for b in blocks]
+def pieces(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """The words in pieces of at most so many (and at least a window), in which each window lies whole."""
+    most = max(most, window)
+    if len(words) <= most:
+        return [words] if words else []
+    return [words[i : i + most] for i in range(0, len(words) - window + 1, most - window + 1)]
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> tuple[int, Callable[[int], SuffixAutomaton]]:
+    """How many blocks all items make, and a function that builds the automaton of one."""
+
+    def cut(batches):
+        for b in batches:
+            out = [(i, k, len(x), b" ".join(x)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, x in enumerate(pieces(words_of(t), window, block_words))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["item", "piece", "n", "words"])
+
+    named = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("t")).where("item is not null")
+    items = written(named.transform(in_batches, cut, "item string, piece int, n long, words binary"), "items")
+    n = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
+    dealt = F.pmod(F.xxhash64("item", "piece", "words"), F.lit(n))
+    return n, lambda i: SuffixAutomaton([(r.item, r.words.split()) for r in items.where(dealt == i).select("item", "words").toLocalIterator()], window)
+
+
+def _through(df: DataFrame, benchmark: DataFrame, window: int, block_words: int, step: Callable[..., tuple[Callable, StructType]]) -> DataFrame:
+    """df through the automaton of one block after another; step gives the function of a pass and its schema, told whether it is the last."""
+    n, build = blocks(benchmark, window, block_words=block_words)
+    for i in range(n):
+        shared, last = df.sparkSession.sparkContext.broadcast(vars(build(i))), i == n - 1
+        out = df.transform(in_batches, *step(shared, last))
+        if last:
+            return out
+        out = written(out, "spans")
+        shared.destroy()
+        if i:
+            discard(df)
+        df = out
+    return df
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -179,10 +211,9 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, n_words, spans (word positions of hits, merged) and items (sorted as strings) of each document."""
     df = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for automaton in automata(benchmark, window, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
-        def run(batches, shared=shared):
+    def step(shared, _):
+        def run(batches):
             match = SuffixAutomaton.of(shared.value).match
             for b in batches:
                 n, spans, items = [], [], []
@@ -194,8 +225,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key:
                     items.append(sorted(found.union(had)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=["k", "t", "n_words", "spans", "items"])
 
-        df = df.mapInArrow(run, df.schema)
-    return df.select(F.col("k").alias(key), "n_words", "spans", "items")
+        return run, df.schema
+
+    return _through(df, benchmark, window, block_words, step).select(F.col("k").alias(key), "n_words", "spans", "items")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -226,12 +258,10 @@ def remove_spans(
     held, names = "spans", {c.lower() for c in docs.columns}
     while held in names:
         held += "_"
-    out = docs.withColumn(held, F.array().cast("array<array<int>>"))
-    blocks = automata(benchmark, window, block_words=block_words)
-    for i, automaton in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+    first = docs.withColumn(held, F.array().cast("array<array<int>>"))
 
-        def run(batches, shared=shared, last=i == len(blocks) - 1):
+    def step(shared, last):
+        def run(batches):
             match = SuffixAutomaton.of(shared.value).match
             for b in batches:
                 *columns, had = b.columns
@@ -244,10 +274,12 @@ def remove_spans(
                     hit = sum(e - s for s, e in spans)
                     keep.append(not hit or hit < drop_coverage * len(words))
                     if last and hit and keep[-1] and hit >= span_coverage * len(words):
-                        data, where = t.encode("utf-8", "surrogatepass"), _offsets(t.encode("utf-8", "surrogatepass"))
-                        for s, e in reversed(spans):
-                            data = data[: where[s][0]] + data[where[e - 1][1] :]
-                        texts[row] = data.decode("utf-8", "surrogatepass")
+                        data = t.encode("utf-8", "surrogatepass")
+                        where, rest, done = _offsets(data), [], 0
+                        for s, e in spans:
+                            rest.append(data[done : where[s][0]])
+                            done = where[e - 1][1]
+                        texts[row] = b"".join([*rest, data[done:]]).decode("utf-8", "surrogatepass")
                 if not last:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(found, b.schema.field(len(columns)).type)], schema=b.schema)
                     continue
@@ -257,9 +289,6 @@ def remove_spans(
                     columns[count] = pa.array([None if t is None else len(t) for t in texts]).cast(schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema if i == len(blocks) - 1 else out.schema)
-    return out
-
+        return run, docs.schema if last else first.schema
 
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return _through(first, benchmark, window, block_words, step)

@@ -24,7 +24,7 @@ def test_random_words_against_brute_force(frame):
     text = lambda n: " ".join(r.choice("ab") for _ in range(n))
     items = [(i, text(r.choice([1, 5, 12, 13, 14, 30]) if i else 9)) for i in range(12)] + [(12, None), (13, ""), (3, text(20)), (None, text(20))]
     docs = [(i, text(r.randrange(60))) for i in range(60)] + [(60, None), (61, ""), (62, "A-b'A \u00c9 x"), (5, text(40))]
-    for block in (d.BLOCK_WORDS, 20):
+    for block in (d.BLOCK_WORDS, 40, 13):
         got = d.digest(d.find_spans(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), block_words=block)).collect()
         want = sorted((i, *brute(t, [x for x in items if x[0] is not None])) for i, t in docs)
         assert sorted(tuple(x) for x in got) == want
@@ -66,6 +66,24 @@ def test_blocks_are_judged_and_cut_together(frame):
         assert dict(map(tuple, d.remove_spans(docs, frame(items, "item_id long, text string"), block_words=block).collect())) == want
 
 
+def test_pieces_hold_each_window():
+    words = [str(i).encode() for i in range(100)]
+    for most in (1, 13, 14, 40, 99, 100):
+        cut = d.pieces(words, 13, most)
+        assert all(13 <= len(p) <= max(13, most) for p in cut)
+        assert {tuple(p[i : i + 13]) for p in cut for i in range(len(p) - 12)} == {tuple(words[i : i + 13]) for i in range(88)}
+    assert d.pieces([], 13, 5) == [] and d.pieces(words[:4], 13, 2) == [words[:4]]
+
+
+def test_very_long_texts(frame):
+    item = " ".join(f"q{i}" for i in range(500))
+    body = " ".join(f"w{i}" for i in range(200_000))
+    docs = frame([(1, f"{body} {item} {body}"), (2, "x" * 1_000_000), (3, item)], "doc_id long, text string")
+    got = {r.doc_id: r for r in d.digest(d.find_spans(docs, frame([(7, item)], "item_id long, text string"), block_words=100)).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].contaminated) == (400_500, 500, False) and got[2].n_words == 1 and got[3].contaminated
+    assert {r.doc_id: len(r.text) for r in d.remove_spans(docs, frame([(7, item)], "item_id long, text string"), block_words=100).collect()} == {1: 2 * len(body) + 2, 2: 1_000_000}
+
+
 def test_empty_tables(frame):
     docs, items = frame([], "doc_id long, text string"), frame([], "item_id long, text string")
     assert d.find_spans(docs, items).count() == 0
