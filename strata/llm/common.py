@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 WORD_CACHE = 150_000  # words that a task remembers before it starts anew; bounds its memory
 BATCH_BYTES = "4m"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine if Spark runs in this
-    process alone, as in tests; an error on a cluster, whose executors could not see such a folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='strata-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder. Cuts lineage; survives the loss of any executor. Spark deletes the shuffle
     files that it was made from when it is written, as nothing reads them again. ``discard`` deletes the table."""
