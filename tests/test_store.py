@@ -285,3 +285,18 @@ def test_fsst_sample_is_whole_values_up_to_its_size(spark, monkeypatch):
     fsst.train_on(keys, "t", "id")
     fsst.train_on(keys.limit(3), "v", "id")
     assert [(len(v), sum(map(len, v))) for v in seen] == [(2048, 16384), (1, 40000), (3, 24)]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strata import scratch
+
+    set_to = {}
+    conf = SimpleNamespace(get=lambda k, d: set_to.get(k, d), set=set_to.__setitem__)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:///")
+    set_to["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))) == "hdfs://x/y"
