@@ -8,12 +8,13 @@ shares one of its first seventh. In a tile, hashed bitmaps are compared first: t
 and the other lacks bound the overlap from above. Pairs that pass are settled by the intersection of
 the sorted arrays of 64-bit shingle hashes.
 
-A tile is a star first: each of its sets is compared with the smallest one of its band. Components of
-these links then leave few tiles with more than one component, and only pairs of different components
-are compared in those, so a large group of near copies costs in proportion to its size, and no link
-between two components is lost. Stars are streamed in order of shingle and size; tiles with more than
-one component are cut into cells of two blocks of at most BLOCK sets or so, in which bitmaps are compared
-in place, so that only pairs which may be linked leave a task.
+A tile is a star first: each of its sets is compared with the smallest one of its band, which settles
+tiles of two sets. Components of these links then leave few tiles with more than one component, and only
+pairs of different components are compared in those, so a large group of near copies costs in proportion
+to its size, and no link between two components is lost. Stars are streamed in order of shingle and size,
+those of a shingle in very many sets as several stars; tiles with more than one component are cut into
+cells of two blocks of at most BLOCK sets or so, in which bitmaps are compared in place, so that only
+pairs which may be linked leave a task.
 
 Sets are told apart by 64-bit hashes of their shingles' hashes and their size.
 
@@ -30,28 +31,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, runs, written
-from .graph import components
+from .common import discard, in_batches, mix, runs, written
+from .graph import HEAVY, components, copies, heavy_keys, lookup, spread
 
 WORDS = 5
 COMMON = 65_536  # shingles that are put last, the commonest
-LOCALLY_COMMON = 6  # times in a task's share of the texts, to be looked at
-FLUSH = 1_000_000
+LOCALLY_COMMON = 4  # times in FLUSH shingles or so of a task, to be looked at
+FLUSH = 3_000_000
+SEEN = 200_000  # sets that a task knows to have been there
+PART = 40  # bits of a code below the part
 BLOCK = 2_048  # sets of a tile that are compared with as many others in one place
-SHORT = 256  # bytes of the bitmaps that travel with tiles
+MARKS = 1 << 24  # bits by which texts to be verified are known
+SHORT = 128  # bytes of the bitmaps that travel with tiles
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: list[str | None], hashes: WordHash, words: int = WORDS) -> list[np.ndarray]:
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))  # a number for each byte
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+CUT = 1 << 18  # bytes that are hashed at once, or one longer word
+_SPACES = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of lower-cased bytes begins, and its hash (unsigned 64 bit): a polynomial of its bytes' numbers,
+    from running sums, so no Python runs for a word."""
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    up, down = _powers(_BASE, CUT), _powers(_INVERSE, CUT)
+    while at < len(data):
+        end = min(at + CUT, len(data))
+        if end < len(data):  # back to white space, or on to it behind a longer word
+            back = max(data.rfind(w, at, end) for w in _SPACES)
+            end = back + 1 if back >= at else min((x + 1 for w in _SPACES if (x := data.find(w, end)) >= 0), default=len(data))
+        block = np.frombuffer(data, np.uint8, end - at, at)
+        word = ~_WHITE[block]
+        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        s, e = edge[::2], edge[1::2]
+        if len(block) > len(up):
+            up, down = _powers(_BASE, len(block)), _powers(_INVERSE, len(block))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[block] * up[: len(block)])])
+        starts.append(s + at)
+        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (unsigned 64 bit) of each text."""
-    return [s for run in runs(texts) for s in _sets(run, hashes, words)]
+    return [s for run in runs(texts) for s in _sets(run, words)]
 
 
-def _sets(texts: list[str | None], hashes: WordHash, words: int) -> list[np.ndarray]:
-    found = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    h = np.fromiter((x for f in found for x in map(hashes.__getitem__, f)), np.uint64, int(sizes.sum()))
+def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    found = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    starts, h = word_hashes(b" ".join(found))
+    ends = np.cumsum([len(f) + 1 for f in found])
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
     n = len(h) - words + 1
     rolled = np.full(max(n, 0), words, np.uint64)
     for i in range(words):
@@ -72,11 +114,6 @@ def _sets(texts: list[str | None], hashes: WordHash, words: int) -> list[np.ndar
     return out
 
 
-class _ByteHash(WordHash):
-    def __missing__(self, word: bytes) -> int:
-        return self.setdefault(word, super().__missing__(word.decode("utf-8", "surrogatepass")))
-
-
 def set_hash(s: np.ndarray) -> int:
     """A hash of a set, signed 64 bit."""
     with np.errstate(over="ignore"):
@@ -158,9 +195,9 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     schema = pa.schema([("k", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("short", pa.binary())])
 
     def run(batches):
-        hashes, many, held, seen = _ByteHash(), [], 0, set()
+        many, held, seen = [], 0, set()
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), hashes)
+            sets = shingle_sets(b.column(1).to_pylist())
             sids = [set_hash(s) for s in sets]
             bits = [bitmap(s) if len(s) else None for s in sets]
             yield _batch([b.column(0), sids, [len(s) for s in sets], bits, [x and folded(x) for x in bits]], schema)
@@ -180,71 +217,79 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         on = n >= LOCALLY_COMMON
         return _batch([[None] * int(on.sum()), value[on].view(np.int64), n[on], *[[None] * int(on.sum())] * 2], schema)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").mapInArrow(run, "k long, sid long, n long, bits binary, short binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").transform(in_batches, run, "k long, sid long, n long, bits binary, short binary")
 
 
-def tile_rows(docs: DataFrame, common: np.ndarray, text: str = "text") -> DataFrame:
-    """tile, sid, n and small (whether as the smaller set too) of each set; common: shingles to put last, the commonest at the end."""
-    schema = pa.schema([("tile", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("small", pa.bool_())])
+def tile_rows(docs: DataFrame, common: np.ndarray, parts: np.ndarray, text: str = "text") -> DataFrame:
+    """tile, sid and code of each set: the star's part (0 for tiles of one star), n and, in the last bit, 0 if it is small
+    (may be the smaller set too), so that of equal sizes these come first. common: shingles to put last, the commonest at the end; parts: how many stars each of them makes."""
+    schema = pa.schema([("tile", pa.int64()), ("sid", pa.int64()), ("code", pa.int64())])
     order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))  # COMMON numbers, twice
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order + 1, parts[order]))  # COMMON numbers, three times
 
     def run(batches):
-        names, ranks = shared.value
-        hashes, seen = _ByteHash(), set()
+        names, ranks, stars = shared.value
+        seen = set()
         for b in batches:
-            tiles, sids, sizes, small = [], [], [], []
-            for s in shingle_sets(b.column(0).to_pylist(), hashes):
+            tiles, sids, codes = [], [], []
+            for s in shingle_sets(b.column(0).to_pylist()):
                 n, sid = len(s), set_hash(s)
                 if not n or sid in seen:
                     continue
-                if len(seen) > FLUSH:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(sid)
+                own = np.zeros(n, np.int64)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     last = np.where(names[at] == s, ranks[at], 0)
                     if last.any():
-                        s = s[np.argsort(last, kind="stable")]
+                        own = np.where((last > 0) & (stars[at] > 1), 1 + sid % stars[at], 0)
+                        by = np.argsort(last, kind="stable")
+                        s, own = s[by], own[by]
                 p, q = prefix(n)
                 tiles.append(s[:p])
                 sids.append(np.full(p, sid))
-                sizes.append(np.full(p, n, np.int32))
-                small.append(np.arange(p) < q)
+                codes.append(own[:p] << PART | n << 1 | (np.arange(p) >= q))
             if tiles:
-                yield _batch([np.concatenate(tiles).view(np.int64), np.concatenate(sids), np.concatenate(sizes), np.concatenate(small)], schema)
+                yield _batch([np.concatenate(tiles).view(np.int64), np.concatenate(sids), np.concatenate(codes)], schema)
 
-    return docs.select(F.col(text)).mapInArrow(run, "tile long, sid long, n int, small boolean")
+    return docs.select(F.col(text)).transform(in_batches, run, "tile long, sid long, code long")
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Rows of tiles with two sets or more (tile, sid, n, small), and pairs (sid, other) of a set and its band's first; tile is null for these."""
+    """Rows of tiles with three sets or more, or of several parts (tile, sid, n, small), and pairs (sid, other) of a set
+    and the first of its band and part; tile is null for these. Two sets of a tile of one part are settled by their pair."""
     schema = pa.schema([("tile", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("small", pa.bool_()), ("other", pa.int64())])
 
     def run(batches):
-        now, first, last, head = None, None, None, None
+        now, last, head, held, split = None, None, None, [], False
         pairs: set[tuple[int, int]] = set()
         for b in batches:
-            t = b.column(0).to_numpy()
-            change = t[1:] != t[:-1]
-            on = np.concatenate([[True], ~change]) | np.concatenate([~change, [True]])  # more than one row, or at an end
+            t, code = b.column(0).to_numpy(), b.column(1).to_numpy()
+            p = code >> PART
+            same = (t[1:] == t[:-1]) & (p[1:] == p[:-1])
+            on = np.concatenate([[True], same]) | np.concatenate([same, [True]]) | (p > 0)  # more than one row, at an end, or split
+            n, small = (code[on] & (1 << PART) - 1) >> 1, code[on] & 1 == 0
             out: list[tuple[int, int, int, bool]] = []
-            for tile, sid, n, small in zip(*(b.column(i).filter(pa.array(on)).to_pylist() for i in (0, 2, 1, 3))):
-                if tile != now:
-                    now, last, first, head = tile, sid, (tile, sid, n, small), (n, sid) if small else None
+            for tile, part, sid, n, small in zip(t[on].tolist(), p[on].tolist(), b.column(2).to_numpy()[on].tolist(), n.tolist(), small.tolist()):
+                if (tile, part) != now:
+                    now, last, head, held, split = (tile, part), sid, (n, sid) if small else None, [(tile, sid, n, small)], part > 0
                 elif sid != last:
-                    if first:
-                        out.append(first)
-                        first = None
-                    out.append((tile, sid, n, small))
                     last = sid
+                    held.append((tile, sid, n, small))
                     if head and 4 * head[0] >= 3 * n:
                         pairs.add((head[1], sid))
                     else:
                         head = (n, sid) if small else None
+                else:
+                    continue
+                if split or len(held) > 2:
+                    out += held
+                    held, split = [], True
             if out:
                 yield _batch([*zip(*out), [None] * len(out)], schema)
-            if len(pairs) > FLUSH // 4:
+            if len(pairs) > SEEN:
                 yield told(pairs)
                 pairs = set()
         if pairs:
@@ -254,15 +299,16 @@ def stars(rows: DataFrame) -> DataFrame:
         n = len(pairs)
         return _batch([[None] * n, [p[0] for p in pairs], [None] * n, [None] * n, [p[1] for p in pairs]], schema)
 
-    dealt = rows.repartition("tile").sortWithinPartitions("tile", "n", "sid").select("tile", "n", "sid", "small")
-    return dealt.mapInArrow(run, "tile long, sid long, n int, small boolean, other long")
+    dealt = rows.repartition(F.col("tile"), F.shiftright("code", PART)).sortWithinPartitions("tile", "code", "sid").select("tile", "code", "sid")
+    return dealt.transform(in_batches, run, "tile long, sid long, n int, small boolean, other long")
 
 
 def between(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs a, b of sets of different components in one tile whose bitmaps allow a link. rows: tile, sid, n, small, c."""
     mixed = rows.groupBy("tile").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = rows.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    mixed = written(mixed.select("tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"), "mixed")
+    heavy = heavy_keys(mixed, "tile", "m")
+    left = spread(rows, "tile", heavy, "sid").join(copies(mixed, "tile", heavy), ["tile", "salt"]).withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     full = left.join(nodes.select("sid", "short"), "sid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = full.withColumn("other", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
@@ -275,7 +321,7 @@ def between(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 if row[:3] != now:
                     pairs.update(cell(held))
                     now, held = row[:3], []
-                    if len(pairs) > FLUSH // 4:
+                    if len(pairs) > SEEN:
                         yield told(pairs)
                         pairs = set()
                 held.append(row[3:])
@@ -292,31 +338,49 @@ def between(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def told(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    out = written(dealt.transform(in_batches, run, "a long, b long").distinct(), "between")
+    discard(mixed)
+    return out
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Which of MARKS hashes any key has: a bitmap of a fixed size. Texts whose id's hash is not there are not wanted, so
+    texts are filtered where they are; one that is there by chance is dropped by the join that follows."""
+    h = F.pmod(F.xxhash64("k"), F.lit(MARKS)) + 1  # positions in bitmaps are counted from 1
+    parts = keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bits = np.frombuffer(r["bits"], np.uint8)
+        out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    return out
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (a, b: ids of nodes) that reach the threshold. nodes: sid, k, n, bits."""
     side = lambda x: nodes.select(F.col("sid").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("ka", "na", "bitsa", "kb", "nb", "bitsb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "ka", "na", "bitsa", "b", "kb", "nb", "bitsb")
 
     def bound(batches):
         for b in batches:
-            ka, na, ba, kb, nb, bb = (b.column(i).to_pylist() for i in range(6))
+            na, ba, nb, bb = (b.column(i).to_pylist() for i in (2, 3, 6, 7))
             on = [linked(x, y, overlap_bound(x, p, y, q)) for x, p, y, q in zip(na, ba, nb, bb)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 3)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 4, 5)], names=["a", "ka", "b", "kb"]).filter(pa.array(on, pa.bool_()))
 
-    near = written(both.mapInArrow(bound, "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
-    own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi")
+    near = written(both.transform(in_batches, bound, "a long, ka long, b long, kb long"), "near")  # of ids
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(near.select(F.col("ka").alias("k")).union(near.select("kb"))))
+    own = docs.select(F.col(key).cast("long").alias("k"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(MARKS)).cast("int").alias("mark"), F.col(text).alias("t")).where("k is not null")
 
     def sets(batches):
-        hashes = _ByteHash()
+        known = marks.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), hashes)], pa.binary())], names=["k", "s"])
+            at = b.column(1).to_numpy()
+            b = b.filter(pa.array(known[at >> 3] >> (at & 7) & 1 > 0))
+            found = shingle_sets(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "s"])
 
-    arrays = written(own.mapInArrow(sets, "k long, s binary").dropDuplicates(["k"]), "sets")
-    paired = near.join(arrays.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    wanted = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
+    arrays = written(own.transform(in_batches, sets, "sid long, s binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    paired = near.join(arrays.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
 
     def exact(batches):
         for b in batches:
@@ -326,31 +390,42 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str = "doc_
                 on.append(linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return paired.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    links = written(paired.select("ka", "kb", "sa", "sb").transform(in_batches, exact, "a long, b long"), "links")
+    discard(near, arrays)
+    return links
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest id reachable by links, its own included) of each row."""
     told = written(signatures(docs, key, text), "signatures")
     own = told.where("k is not null")
-    top = told.where("k is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(COMMON).select("sid")
-    common = np.array([r[0] for r in top.collect()][::-1], np.int64).view(np.uint64)
-    nodes = own.where("n > 0").groupBy("sid", "n").agg(F.min("k").alias("k"), F.first("bits").alias("bits"), F.first("short").alias("short"))
-
-    tiles = written(stars(tile_rows(docs.where(F.col(key).isNotNull()), common, text)), "tiles")
-    pairs = tiles.where("tile is null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
-    near = written(verify(pairs, nodes, docs, key, text), "links")
+    nodes = written(own.where("n > 0").groupBy("sid", "n").agg(F.min("k").alias("k"), F.first("bits").alias("bits"), F.first("short").alias("short"), F.count("*").alias("rows")), "nodes")
+    top = told.where("k is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(COMMON).collect()[::-1]
+    common, often = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    several = often > max(BLOCK, nodes.count() // HEAVY)  # shingles in many sets are stars of BLOCK sets or so
+
+    rows = tile_rows(docs.where(F.col(key).isNotNull()), common, np.where(several, -(-often // BLOCK), 1), text)
+    tiles = written(stars(rows), "tiles")
+    pairs = written(tiles.where("tile is null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    near = verify(pairs, nodes, docs, key, text)
     first = components(near)
 
-    label = nodes.select("sid", "k").join(first.withColumnRenamed("node", "k"), "k", "left").select("sid", F.coalesce("component", "k").alias("c"))
-    rows = written(tiles.where("tile is not null").select("tile", "sid", "n", "small").join(label, "sid"), "rows")
-    more = between(rows, nodes)
-    rest = more.join(pairs, ["a", "b"], "left_anti")
-    links = written(near.union(verify(rest, nodes, docs, key, text)), "links")
-    final = components(links)
-
-    by_set = nodes.select("sid", F.col("n").alias("m"), "k").join(final.withColumnRenamed("node", "k"), "k", "left").select("sid", "m", F.coalesce("component", "k").alias("component_id"))
-    found = own.join(by_set, (own["sid"] == by_set["sid"]) & (own["n"] == by_set["m"]), "left").select("k", "n", F.coalesce("component_id", "k").alias("component_id"))
+    label = written(nodes.select("sid", "n", "k").join(first.withColumnRenamed("node", "k"), "k", "left").select("sid", "n", "k", F.coalesce("component", "k").alias("c")), "labels")
+    rows = written(tiles.where("tile is not null").select("tile", "sid", "n", "small").join(label.select("sid", "c"), "sid"), "rows")
+    discard(tiles, near)
+    rest = between(rows, nodes)
+    more = verify(rest.join(pairs, ["a", "b"], "left_anti"), nodes, docs, key, text)
+    discard(rows, pairs)
+    # what is left are links between components, which become nodes
+    of = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between_them = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    final = components(between_them)
+    discard(rest, more, first)
+
+    heavy = heavy_keys(nodes, "sid", "rows")
+    by_set = lookup(label, "c", final.select(F.col("node").alias("c"), "component"), "sid").select("sid", F.col("n").alias("m"), F.coalesce("component", "c").alias("component_id"))
+    left, right = spread(own.select("k", "sid", "n"), "sid", heavy, "k"), copies(by_set, "sid", heavy)
+    found = left.join(right, (left["sid"] == right["sid"]) & (left["n"] == right["m"]) & (left["salt"] == right["salt"]), "left").select("k", "n", F.coalesce("component_id", "k").alias("component_id"))
     lost = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id"))
     return found.union(lost).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

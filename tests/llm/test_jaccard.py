@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from strata.llm import jaccard, queries
+from strata.llm import graph, jaccard, queries
 
 
 def sets(text):
@@ -96,5 +96,43 @@ def test_texts_of_one_id_are_decided_apart(frame):
     assert sorted(r.row for r in got.collect()) == ["a", "c", "e", "f", "g"]
 
 
+def test_common_shingles_make_several_stars(frame, monkeypatch):
+    """Very small limits: many shingles are common, and each of them is cut into parts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "HEAVY", 10**9)
+    monkeypatch.setattr(jaccard, "LOCALLY_COMMON", 2)
+    docs = fixture()
+    check(jaccard.join(frame(docs, "doc_id long, text string")).collect(), brute(docs))
+
+
+def test_hubs_are_spread_and_components_right(spark, monkeypatch):
+    """A hub with a third of all edges, on either side, and a component with most nodes: no key and salt has many rows."""
+    monkeypatch.setattr(graph, "LEAST", 50)
+    edges = [(0, i) for i in range(1, 3_000)] + [(i, 9_999_999) for i in range(10_000, 11_500)] + [(i, i + 1) for i in range(20_000, 20_100)] + [(5, 5), (None, 4)]
+    edges += [(100_000 + 2 * i, 100_001 + 2 * i) for i in range(3_000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    assert got[2_999] == 0 and got[9_999_999] == got[11_499] == 10_000 and got[20_100] == 20_000 and got[100_001] == 100_000 and len(got) == 3_000 + 1_501 + 101 + 6_000
+    both = df.where("a <> b").selectExpr("a node", "b `to`").union(df.where("a <> b").selectExpr("b", "a"))
+    hubs = graph.heavy_keys(both, "to")
+    assert set(hubs) == {0, 9_999_999}
+    dealt = graph.spread(both, "to", hubs, "node").groupBy("to", "salt").count()
+    assert dealt.agg({"count": "max"}).first()[0] < 0.01 * both.count()
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts(frame):
+    docs = [(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (2, "one two three four five six"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x y zz"), (3, "one two three four five six")]
+    got = sorted({(r.doc_id, r.component_id) for r in jaccard.join(frame(docs, "doc_id long, text string")).collect()})
+    assert got[0] == (1, 1) and {c for i, c in got if i == 3} <= {1, 2}
+
+
+def test_very_long_text(frame):
+    body = " ".join(f"w{i % 70_001}" for i in range(200_000))
+    docs = [(1, body), (2, body + " more"), (3, "short"), (4, "w" * 1_000_000)]
+    got = {r.doc_id: r for r in jaccard.join(frame(docs, "doc_id long, text string")).collect()}
+    assert got[2].component_id == 1 and got[3].component_id == 3 and got[4].n_shingles == 1
+
+
 def test_empty_table(frame):
     assert jaccard.join(frame([], "doc_id long, text string")).count() == 0
