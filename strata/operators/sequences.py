@@ -1,7 +1,7 @@
 """Queries on a non-decreasing sequence (pos, val): access, successor, predecessor, ranges, chunks.
 
-Successors of many targets are found by buckets of values: in a target's own bucket by a window, else the
-first value of the next bucket that has any; only one row for each bucket meets in one place.
+Successors of many targets are found in one table of elements and targets that is sorted by ranges: in a target's own
+file by a window, else the first element of the next file that has any; only one row for each file meets in one place.
 """
 
 from __future__ import annotations
@@ -12,35 +12,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import elias_fano
+from .versions import sorted_table
 
-WIDTH = 65_536
 
-
-def next_ge(seq: DataFrame, targets: DataFrame, width: int = WIDTH) -> DataFrame:
+def next_ge(seq: DataFrame, targets: DataFrame) -> DataFrame:
     """t, pos and val of the first element at or after each target (column t); no row beyond the end."""
-    return _near(seq, targets, width, forward=True)
+    return _near(seq, targets, forward=True)
 
 
-def prev_lt(seq: DataFrame, targets: DataFrame, width: int = WIDTH) -> DataFrame:
+def prev_lt(seq: DataFrame, targets: DataFrame) -> DataFrame:
     """t, pos and val of the last element before each target."""
-    return _near(seq, targets, width, forward=False)
-
-
-def _near(seq: DataFrame, targets: DataFrame, width: int, forward: bool) -> DataFrame:
-    b = lambda c: F.expr(f"{c} div {width}")
-    pick = F.min if forward else F.max
-    one = seq.groupBy("val").agg(pick("pos").alias("pos")).select(b("val").alias("b"), "val", F.struct("val", "pos").alias("e"))
-    asked = targets.select(F.col("t")).distinct().select(b("t").alias("b"), F.col("t").alias("val"), F.lit(None).cast("struct<val:bigint,pos:bigint>").alias("e"), F.lit(1).alias("ask"))
-    both = one.withColumn("ask", F.lit(0)).unionByName(asked)
-    # an element at the target itself counts for next_ge, not for prev_lt
-    order = (F.desc("val"), F.asc("ask")) if forward else (F.asc("val"), F.desc("ask"))
-    near = F.last("e", ignorenulls=True).over(Window.partitionBy("b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("near", near).where("ask = 1").select("b", F.col("val").alias("t"), "near")
-    ends = one.groupBy("b").agg((F.min("e") if forward else F.max("e")).alias("end"))
-    all_b = ends.unionByName(found.select("b").distinct().withColumn("end", F.lit(None).cast("struct<val:bigint,pos:bigint>"))).groupBy("b").agg(F.max("end").alias("end"))
-    beyond = F.last("end", ignorenulls=True).over(Window.orderBy(F.desc("b") if forward else F.asc("b")).rowsBetween(Window.unboundedPreceding, -1))
-    next_b = all_b.withColumn("beyond", beyond).select("b", "beyond")
-    out = found.join(next_b, "b", "left").select("t", F.coalesce("near", "beyond").alias("e"))
+    return _near(seq, targets, forward=False)
+
+
+def _near(seq: DataFrame, targets: DataFrame, forward: bool) -> DataFrame:
+    element = "struct<val:bigint,pos:bigint>"
+    one = seq.groupBy("val").agg((F.min if forward else F.max)("pos").alias("pos")).select("val", F.lit(1).alias("rank"), F.struct("val", "pos").alias("e"))
+    asked = targets.select(F.col("t").cast("long").alias("val")).distinct().select("val", F.lit(0).alias("rank"), F.lit(None).cast(element).alias("e"))
+    # a target is right before the element of its own value: what follows is at or after it, what precedes is before it
+    rows, file, place = sorted_table(one.unionByName(asked), ("val", "rank"))
+    held = rows.select("*", file.alias("file"), place.alias("place"))
+    order = F.desc if forward else F.asc
+    near = F.last("e", ignorenulls=True).over(Window.partitionBy("file").orderBy(order("place")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = held.groupBy("file").agg((F.min_by if forward else F.max_by)("e", F.when(F.col("e").isNotNull(), F.col("place"))).alias("end"))
+    beyond = F.last("end", ignorenulls=True).over(Window.orderBy(order("file")).rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    found = held.withColumn("near", near).where("rank = 0").join(F.broadcast(ends.select("file", beyond.alias("beyond"))), "file")
+    out = found.select(F.col("val").alias("t"), F.coalesce("near", "beyond").alias("e"))
     return out.where("e is not null").select("t", F.col("e.pos").alias("pos"), F.col("e.val").alias("val"))
 
 

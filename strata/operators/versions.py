@@ -1,6 +1,11 @@
 """A versioned log: rows of key, version and position; the newest version of each key wins.
 
 Layers are numbered from the newest (0). Versions order rows within a layer.
+
+Edge cases, for all functions: a null key is a key like others in ``latest`` and ``merge``, overwrites nothing in
+``discards`` (all its rows are there) and is met by nothing in ``multi_get`` and ``missing``; rows of equal key and version are one version, of which
+``latest`` keeps any one; empty tables give empty ones; columns that are added for the time being take names that are
+free, and a column named ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -59,7 +64,7 @@ def compact(newest: DataFrame, deepest: bool, flag: str = "flag") -> DataFrame:
     return live(newest, flag) if deepest else newest
 
 
-def _sorted(df: DataFrame, order: tuple[str, ...], also=None) -> tuple[DataFrame, Column, Column]:
+def sorted_table(df: DataFrame, order: tuple[str, ...], also=None) -> tuple[DataFrame, Column, Column]:
     """df as a table whose files follow each other in order, with columns for a row's file and its place in it. One
     shuffle, by ranges of the order. also: what is done to each sorted part before it is written."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -77,7 +82,7 @@ def _free(df: DataFrame, name: str) -> str:
 def numbered(df: DataFrame, order: tuple[str, ...], into: str = "n") -> DataFrame:
     """Adds the position (from 0) in an order; positions of equal rows are dealt in any way. df is sorted by ranges and
     written once; only the number of rows of each file meets in one place. A column named ``into`` is replaced."""
-    rows, file, place = _sorted(df.drop(into), order)
+    rows, file, place = sorted_table(df.drop(into), order)
     name, at = _free(rows, "file"), _free(rows, "at")
     held = rows.select("*", file.alias(name), place.alias(at))
     sizes = held.groupBy(name).agg(F.count("*").alias("size"))
@@ -99,7 +104,7 @@ def _folded(df: DataFrame, order: tuple[str, ...], value: Column, into: str, fol
                 last = x[-1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.int64())], schema=b.schema)
 
-    done, file, _ = _sorted(rows, order, lambda parts: parts.mapInArrow(run, parts.schema))
+    done, file, _ = sorted_table(rows, order, lambda parts: parts.mapInArrow(run, parts.schema))
     name = _free(done, "file")
     held = done.select("*", file.alias(name))
     ends = held.groupBy(name).agg(F.max(into).alias("end"))

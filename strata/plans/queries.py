@@ -360,7 +360,7 @@ def _dups(spark, sf_dir) -> DataFrame:
 
 @query(SEQ + ", first AS (SELECT val, min(pos) AS pos FROM dup GROUP BY val) SELECT t, pos, val FROM (SELECT DISTINCT c_custkey * 3 AS t FROM customer) ASOF JOIN first ON t <= val")
 def seq_dups(spark, sf_dir):
-    return sequences.next_ge(_dups(spark, sf_dir), _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("t")), 4096)
+    return sequences.next_ge(_dups(spark, sf_dir), _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("t")))
 
 
 @query(SEQ + "SELECT pos, val FROM dup")

@@ -101,11 +101,15 @@ def test_sequence_search(spark):
     v = [2, 3, 5, 7, 7, 11, 13, 17, 19, 23, 29, 500, 501]
     seq = spark.createDataFrame(list(enumerate(v)), "pos long, val long")
     asked = spark.createDataFrame([(t,) for t in (0, 6, 7, 8, 12, 30, 502)], "t long")
-    for width in (4, 64, 100_000):
-        got = {r.t: (r.pos, r.val) for r in sequences.next_ge(seq, asked, width).collect()}
+    for parts in ("1", "4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.t: (r.pos, r.val) for r in sequences.next_ge(seq, asked).collect()}
         assert got == {t: next((i, x) for i, x in enumerate(v) if x >= t) for t in (0, 6, 7, 8, 12, 30)}
-        got = {r.t: (r.pos, r.val) for r in sequences.prev_lt(seq, asked, width).collect()}
+        got = {r.t: (r.pos, r.val) for r in sequences.prev_lt(seq, asked).collect()}
         assert got == {t: [(i, x) for i, x in enumerate(v) if x < t][-1] for t in (6, 7, 8, 12, 30, 502)}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_fsst():
@@ -195,6 +199,18 @@ def test_a_retried_batch_is_there_once(spark, tmp_path):
     assert ingest.table(spark, path).count() == 15 and ingest.table(spark, path, upto=1).count() == 10
 
 
+def test_versions_of_odd_rows(spark):
+    kind = "key string, ver long, layer int, flag int, newest string"
+    df = spark.createDataFrame([(None, 1, 0, 0, "a"), (None, 2, 0, 0, "b"), ("k", 5, 0, 0, "c"), ("k", 5, 0, 0, "c"), ("k", None, 0, 8, None)], kind)
+    assert sorted((r.key or "", r.ver) for r in versions.latest(df).collect()) == [("", 2), ("k", 5)]
+    assert sorted((r.key or "", r.ver or 0) for r in versions.discards(df).collect()) == [("", 1), ("", 2), ("k", 0)]
+    keys = spark.createDataFrame([(None,), ("k",), ("z",)], "key string")
+    assert [r.key for r in versions.multi_get(versions.latest(df), keys).collect()] == ["k"]
+    assert sorted(r.key or "" for r in versions.missing(versions.latest(df), keys).collect()) == ["", "z"]
+    for f in (versions.latest, versions.discards, versions.merge):
+        assert f(df.limit(0)).count() == 0
+
+
 def test_rotation_by_bytes(spark):
     """A segment of keys that count 68 bytes each, closed once 70 are reached, holds two; one entry may be over."""
     log = spark.createDataFrame([(1, i, "key1") for i in range(5)] + [(2, 7, "k" * 500), (2, 9, "k")], "w long, ver long, key string")
@@ -234,6 +250,12 @@ def test_overlap_by_cuts_for_any_keys(spark):
     assert ranges.overlap_cut(q, s.limit(0)).count() == 0
 
 
+def test_disjoint_violations(spark):
+    rows = [(i, 10 * i, 10 * i + (25 if i in (3, 17) else 5)) for i in range(30)]
+    got = ranges.disjoint_violations(spark.createDataFrame(rows, "seg int, min long, max long")).collect()
+    assert {r.seg for r in got} == {4, 18}
+
+
 def test_search_on_blobs(spark):
     v = [2, 3, 5, 7, 7, 11, 13, 17, 19, 23, 29, 500, 501]
     packed = sequences.pack(spark.createDataFrame(list(enumerate(v)), "pos long, val long"), 4)
