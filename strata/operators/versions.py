@@ -90,9 +90,10 @@ def numbered(df: DataFrame, order: tuple[str, ...], into: str = "n") -> DataFram
     return held.join(F.broadcast(sizes.select(name, before.alias("before"))), name).withColumn(into, (F.col(at) + F.col("before")).cast("long")).select(*rows.columns, into)
 
 
-def _folded(df: DataFrame, order: tuple[str, ...], value: Column, into: str, fold, over, both) -> DataFrame:
+def _folded(df: DataFrame, order: tuple[str, ...], value: Column, into: str, position: str | None, fold, over, both) -> DataFrame:
     """A running fold of whole numbers: by NumPy within each sorted part, then over the parts' last values."""
-    rows = df.drop(into).withColumn(into, value.cast("long"))
+    added = [into, *([position] if position else [])]
+    rows = df.drop(*added).withColumn(into, value.cast("long"))
 
     def run(batches):
         last = None
@@ -104,22 +105,24 @@ def _folded(df: DataFrame, order: tuple[str, ...], value: Column, into: str, fol
                 last = x[-1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.int64())], schema=b.schema)
 
-    done, file, _ = sorted_table(rows, order, lambda parts: parts.mapInArrow(run, parts.schema))
-    name = _free(done, "file")
-    held = done.select("*", file.alias(name))
-    ends = held.groupBy(name).agg(F.max(into).alias("end"))
-    before = over("end").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    return held.join(F.broadcast(ends.select(name, before.alias("before"))), name).withColumn(into, both(F.col(into), F.col("before"))).select(*done.columns)
+    done, file, place = sorted_table(rows, order, lambda parts: parts.mapInArrow(run, parts.schema))
+    name, at = _free(done, "file"), _free(done, "at")
+    held = done.select("*", file.alias(name), place.alias(at))
+    ends = held.groupBy(name).agg(F.max(into).alias("end"), F.count("*").alias("size"))
+    earlier = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = ends.select(name, over("end").over(earlier).alias("before"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("above"))
+    out = held.join(F.broadcast(before), name).withColumn(into, both(F.col(into), F.col("before")))
+    return (out.withColumn(position, (F.col(at) + F.col("above")).cast("long")) if position else out).select(*df.drop(*added).columns, *added)
 
 
-def running(df: DataFrame, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
-    """Adds the running sum of a whole number of 0 or more (null: 0) in an order, the row's own included."""
-    return _folded(df, order, F.coalesce(value, F.lit(0)), into, np.add, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
+def running(df: DataFrame, order: tuple[str, ...], value: Column, into: str, position: str | None = None) -> DataFrame:
+    """Adds the running sum of a whole number of 0 or more (null: 0) in an order, the row's own included; and the position, if named."""
+    return _folded(df, order, F.coalesce(value, F.lit(0)), into, position, np.add, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
 
 
-def running_max(df: DataFrame, order: tuple[str, ...], value: Column, into: str) -> DataFrame:
-    """Adds the largest whole number so far (nulls aside) in an order, the row's own included."""
-    return _folded(df, order, F.coalesce(value, F.lit(-(2**63))), into, np.maximum, F.max, lambda own, before: F.greatest(own, before))
+def running_max(df: DataFrame, order: tuple[str, ...], value: Column, into: str, position: str | None = None) -> DataFrame:
+    """Adds the largest whole number so far (nulls aside) in an order, the row's own included; and the position, if named."""
+    return _folded(df, order, F.coalesce(value, F.lit(-(2**63))), into, position, np.maximum, F.max, lambda own, before: F.greatest(own, before))
 
 
 def rotated(log: DataFrame, writer: str, order: tuple[str, ...], size: Column, limit: int) -> DataFrame:

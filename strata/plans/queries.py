@@ -300,7 +300,7 @@ def rotate_by_bytes(spark, sf_dir):
 def _seq(spark, sf_dir) -> DataFrame:
     """pos and val (the characters so far) of documents in order of their ids."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") + 1).alias("v"))
-    return versions.numbered(versions.running(docs, ("doc_id",), F.col("v"), "val"), ("doc_id",), "pos").select("pos", "val")
+    return versions.running(docs, ("doc_id",), F.col("v"), "val", "pos").select("pos", "val")
 
 
 def _targets(spark, sf_dir) -> DataFrame:

@@ -230,6 +230,7 @@ def test_positions_and_running_folds(spark):
         for i, _, v in ordered:
             last = of(last, v)
             assert got[i] == last
+    assert {x.id: x.n for x in versions.running(df, ("id",), F.col("v"), "s", "n").collect()} == {x[0]: i for i, x in enumerate(ordered)}
     empty = df.limit(0)
     assert versions.numbered(empty, ("id",)).count() == versions.running(empty, ("id",), F.col("v"), "s").count() == 0
 
