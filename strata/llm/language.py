@@ -21,14 +21,14 @@ language are not learned from; repeated rows give repeated results; other column
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, held_out, runs
+from .common import WORD_CACHE, held_out, in_batches, mix, runs
 
 ORDERS = (2, 3, 4)
 MAX_ROWS = 3_000
@@ -37,24 +37,39 @@ HASHES = 4
 WEIGHTS = (1, 2, 4)  # of n-grams by order, in keep_known
 QUANTILE = 0.1
 MARGIN = 0.7
+RUN = 2_000_000  # characters whose words are looked up at once
 LEAST = 0.25  # where there are no rows to derive it from
-LETTERS = re.compile(r"[^\W\d_]+")
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("Nl", "No"))  # word characters, but no letters or digits
+_ALNUM, _LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
-def grams(word: str) -> list[str]:
-    """Letter n-grams of a word with a mark at either end."""
-    w = f"^{word}$"
-    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)]
+def letters(texts: list[str | None]) -> list[list[str]]:
+    """Runs of letters (Unicode category L) of texts in lower case. The short class, which has other numbers than digits too,
+    is ten times as fast; the few words that have any are split again."""
+    found = [_ALNUM.findall(t.lower()) if t else [] for t in texts]
+    odd = {w: _LETTERS.findall(w) for w in {w for f in found for w in f} if not w.isalpha()}
+    return [[x for w in f for x in odd.get(w, (w,))] if not odd.keys().isdisjoint(f) else f for f in found] if odd else found
 
 
-def gram_hash(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass")) >> 1
+def gram_hashes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hashes (62 bits) of all letter n-grams of the words, with a mark at either end of a word, and
+    which word each is of."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    row = np.repeat(np.arange(len(words)), sizes)
+    letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out, h = [], letters
+    for n in range(2, max(ORDERS) + 1):
+        h = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[n - 1 :])
+        if n in ORDERS:
+            same = row[n - 1 :] == row[: len(h)]
+            out.append(((h[same] >> np.uint64(2)).astype(np.int64), row[: len(h)][same]))
+    return out
 
 
 def slots(h: np.ndarray, size: int) -> np.ndarray:
-    """Positions of hashes in the filters, a row for each hash function."""
+    """Positions of hashes in filters of a size that is a power of two, a row for each hash function."""
     a, b = h & 0x7FFFFFFF, (h >> 31) | 1
-    return np.stack([(a + i * b) % size for i in range(HASHES)])
+    return np.stack([(a + i * b) & (size - 1) for i in range(HASHES)])
 
 
 class Filters:
@@ -81,17 +96,16 @@ class Filters:
 
     def counts(self, words: list[str], weights: tuple[int, ...] | None = None) -> np.ndarray:
         """For each word: n-grams in each language's filter, then n-grams in all; each counts as the weight of its order."""
-        each = [grams(w) for w in words]
-        sizes = np.array([len(g) for g in each])
-        at = slots(np.fromiter((gram_hash(g) for e in each for g in e), np.int64, int(sizes.sum())), self.size)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        weight = np.fromiter((weights[len(g) - ORDERS[0]] for e in each for g in e), np.int64, int(sizes.sum())) if weights else np.int64(1)
         out = np.zeros((len(words), len(self.languages) + 1), np.int64)
-        for lane, masks in enumerate(self.masks):
-            hit = np.bitwise_and.reduce(masks[at], axis=0)
-            for k in range(lane * 64, min(len(self.languages), lane * 64 + 64)):
-                out[:, k] = np.add.reduceat(((hit >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64) * weight, starts)
-        out[:, -1] = np.add.reduceat(weight, starts) if weights else sizes
+        for (h, row), weight in zip(gram_hashes(words), weights or (1,) * len(ORDERS)):
+            at = slots(h, self.size)
+            for lane, masks in enumerate(self.masks):
+                hit = masks[at[0]]
+                for p in at[1:]:
+                    hit &= masks[p]
+                for k in range(lane * 64, min(len(self.languages), lane * 64 + 64)):
+                    out[:, k] += weight * np.bincount(row[(hit >> np.uint64(k % 64)) & np.uint64(1) > 0], minlength=len(words))
+            out[:, -1] += weight * np.bincount(row, minlength=len(words))
         return out
 
     def decide(self, counts: np.ndarray) -> list[tuple[str, float]]:
@@ -126,25 +140,27 @@ def _learned(sample: DataFrame, languages: list[str], keep: int) -> Filters:
     """Filters of all rows (k, t, lang)."""
 
     def count(batches):
-        sums: dict[tuple[str, int], int] = {}
+        words: dict[str, dict[str, int]] = {}
         for b in batches:
-            words: dict[tuple[str, str], int] = {}
-            for t, name in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for w in LETTERS.findall(t.lower()):
-                    words[name, w] = words.get((name, w), 0) + 1
-            for (name, w), n in words.items():
-                for g in grams(w):
-                    at = (name, gram_hash(g))
-                    sums[at] = sums.get(at, 0) + n
-            if len(sums) > WORD_CACHE:
-                yield _rows(sums)
-                sums = {}
-        yield _rows(sums)
-
-    def _rows(sums):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["lang", "g", "n"])
-
-    totals = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).where("n > 1")
+            for found, name in zip(letters(b.column(1).to_pylist()), b.column(2).to_pylist()):
+                own = words.setdefault(name, {})
+                for w in found:
+                    own[w] = own.get(w, 0) + 1
+            if sum(map(len, words.values())) > WORD_CACHE:
+                yield from told(words)
+                words = {}
+        yield from told(words)
+
+    def told(words):
+        for name, own in words.items():
+            if own:
+                times = np.fromiter(own.values(), np.int64, len(own))
+                found = gram_hashes(list(own))
+                g, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+                n = np.bincount(at, times[np.concatenate([row for _, row in found])]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "g", "n"])
+
+    totals = sample.transform(in_batches, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).where("n > 1")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
     top = totals.withColumn("rank", rank).where(F.col("rank") <= keep)  # keep rows for each language
     by: dict[str, list[int]] = {name: [] for name in languages}
@@ -153,34 +169,24 @@ def _learned(sample: DataFrame, languages: list[str], keep: int) -> Filters:
     return Filters(by)
 
 
-class Counter:
-    """Counts of texts, with those of up to WORD_CACHE distinct words remembered."""
-
-    def __init__(self, filters: Filters, weights: tuple[int, ...] | None = None) -> None:
-        self.filters, self.weights, self.at = filters, weights, {}
-        self.rows = np.zeros((0, len(filters.languages) + 1), np.int64)
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return np.concatenate([self.rows[:0], *map(self._count, runs(texts))])
-
-    def _count(self, texts: list[str | None]) -> np.ndarray:
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        new = list({w for f in found for w in f if w not in self.at})
-        if new:
-            if len(self.at) + len(new) > WORD_CACHE and self.at:
-                self.at, self.rows = {}, self.rows[:0]
-                new = list({w for f in found for w in f})
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.rows = np.concatenate([self.rows, self.filters.counts(new, self.weights)])
-        sizes = np.array([len(f) for f in found], np.int64)
-        rows = np.fromiter((x for f in found for x in map(self.at.__getitem__, f)), np.int64, int(sizes.sum()))
-        out = np.zeros((len(texts), self.rows.shape[1]), np.int64)
-        if len(rows):
-            full = sizes > 0
-            starts = (np.cumsum(sizes) - sizes)[full]
-            for k in range(out.shape[1]):
-                out[full, k] = np.add.reduceat(self.rows[rows, k], starts)
-        return out
+def counted(filters: Filters, texts: list[str | None], weights: tuple[int, ...] | None = None) -> np.ndarray:
+    """Counts of whole texts: those of the distinct words of a run of texts, summed by text."""
+    return np.concatenate([np.zeros((0, len(filters.languages) + 1), np.int64), *(_counted(filters, run, weights) for run in runs(texts))])
+
+
+def _counted(filters: Filters, texts: list[str | None], weights: tuple[int, ...] | None) -> np.ndarray:
+    found = letters(texts)
+    sizes = np.array([len(f) for f in found], np.int64)
+    out = np.zeros((len(texts), len(filters.languages) + 1), np.int64)
+    if sizes.any():
+        at: dict[str, int] = {}
+        words = np.fromiter((at.setdefault(w, len(at)) for f in found for w in f), np.int64, int(sizes.sum()))
+        rows = filters.counts(list(at), weights)
+        full = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for k in range(out.shape[1]):
+            out[full, k] = np.add.reduceat(rows[words, k], starts)
+    return out
 
 
 def _scored(texts: DataFrame, filters: Filters, weights: tuple[int, ...] | None = None) -> DataFrame:
@@ -189,13 +195,12 @@ def _scored(texts: DataFrame, filters: Filters, weights: tuple[int, ...] | None
 
     def run(batches):
         known = Filters.of(shared.value)
-        counter = Counter(known, weights)
         for b in batches:
-            got = known.decide(counter(b.column(1).to_pylist()))
+            got = known.decide(counted(known, b.column(1).to_pylist(), weights))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["k", "lang_pred", "score"])
 
     kind = texts.schema["k"].dataType.simpleString()
-    return texts.select("k", "t").mapInArrow(run, f"k {kind}, lang_pred string, score double")
+    return texts.select("k", "t").transform(in_batches, run, f"k {kind}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,9 +215,8 @@ def keep_known(docs: DataFrame, filters: Filters, least: float | None = None, te
 
     def run(batches):
         known = Filters.of(shared.value)
-        counter = Counter(known, WEIGHTS)
         for b in batches:
-            got = known.decide(counter(b.column(at).to_pylist()))
+            got = known.decide(counted(known, b.column(at).to_pylist(), WEIGHTS))
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
