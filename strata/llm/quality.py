@@ -23,14 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHash, held_out, mix, runs, written
+from .common import WordHash, held_out, in_batches, mix, runs, written
 
 BITS = 16
 MAX_ROWS = 16_000
 SMOOTH = 1.0
 SLACK = 0.005
-FLOOR = -8.0
 SEED = 7
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -59,7 +59,7 @@ def counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["b", "n"])
 
     out = np.zeros(1 << bits)
-    for b in texts.mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():
+    for b in texts.transform(in_batches, run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():
         out[b["b"]] = b["n"]
     return out
 
@@ -112,7 +112,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64()), pa.array(p, pa.float64())], names=["k", "log_weight", "perturbed"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, log_weight double, perturbed double").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(in_batches, run, f"k {kind}, log_weight double, perturbed double").withColumnRenamed("k", key)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
@@ -126,7 +126,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
             x = np.where(x < 0, ~x, x | np.int64(-(2**63))).view(np.uint64)  # sorts as the doubles do
             yield pa.RecordBatch.from_arrays([pa.array(((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int32), pa.int32()) for s in (48, 32, 16, 0)], names=["d0", "d1", "d2", "d3"])
 
-    keys = values.select(F.col(column).cast("double")).where(F.col(column).isNotNull()).mapInArrow(digits, "d0 int, d1 int, d2 int, d3 int")
+    keys = values.select(F.col(column).cast("double")).where(F.col(column).isNotNull()).transform(in_batches, digits, "d0 int, d1 int, d2 int, d3 int")
     got = 0
     for r in range(4):
         for d, n in sorted(((x[0], x[1]) for x in keys.groupBy(f"d{r}").count().collect()), reverse=True):
@@ -140,26 +140,32 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return float(np.array([got], np.uint64).view(np.float64)[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, slack: float = SLACK, floor: float = FLOOR, key: str = "doc_id", text: str = "text", seed: int = SEED) -> tuple[DataFrame, np.ndarray, float]:
-    """key, log_weight, perturbed and kept of each row; the log ratios and the least perturbed weight kept."""
+def least_kept(scored: DataFrame, share: float) -> float:
+    """The least perturbed weight of the sample: the k-th largest, with k the rows times the share, rounded up."""
+    least = kth_largest(scored, "perturbed", int(np.ceil(scored.count() * min(1.0, share))))
+    return float("-inf") if least is None else least
+
+
+def sample(docs: DataFrame, labels: DataFrame, slack: float = SLACK, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """key, log_weight, perturbed and kept of each row."""
     ratio, share = fit(docs, labels, key=key, text=text)
     scored = written(weigh(docs, ratio, key, text, seed), "weights")
-    n, likely = scored.agg(F.count("*"), F.count(F.when(F.col("perturbed") >= floor, 1))).first()
-    k = max(likely, int(np.ceil(n * min(1.0, share + slack))))
-    least = kth_largest(scored, "perturbed", k)
-    least = float("-inf") if least is None else least
-    return scored.withColumn("kept", F.col("perturbed") >= F.lit(least)), ratio, least
+    return scored.withColumn("kept", F.col("perturbed") >= F.lit(least_kept(scored, share + slack)))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, slack: float = SLACK, floor: float = FLOOR, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """The rows of docs that are sampled; all columns stay. Weights are computed again, which is cheaper than moving the texts."""
-    _, ratio, least = sample(docs, labels, slack, floor, key, text, seed)
+def keep_sampled(docs: DataFrame, labels: DataFrame, slack: float = SLACK, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of docs that are sampled; all columns stay. Rows are written with their weights, so texts are read twice in all and never shuffled."""
+    ratio, share = fit(docs, labels, key=key, text=text)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    k, at = docs.columns.index(key), docs.columns.index(text)
+    k, at, weight = docs.columns.index(key), docs.columns.index(text), "perturbed"
+    while weight in {c.lower() for c in docs.columns}:
+        weight += "_"
 
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            yield b.filter(pa.array(_perturbed(b.column(k).to_pylist(), b.column(at).to_pylist(), shared.value, hashes, seed)[1] >= least, pa.bool_()))
+            p = _perturbed(b.column(k).to_pylist(), b.column(at).to_pylist(), shared.value, hashes, seed)[1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, weight])
 
-    return docs.mapInArrow(run, docs.schema)
+    scored = written(docs.transform(in_batches, run, T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])), "weighed")
+    return scored.where(F.col(weight) >= F.lit(least_kept(scored.select(F.col(weight).alias("perturbed")), share + slack))).drop(weight)

@@ -31,7 +31,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+    return quality.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     sample = F.lit("</s>[INST] ok [/INST]")
     own = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), sample)
-    events = said.union(own).select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digest(chat.read(chat.render(chat.rebuild(events))))
+    return chat.digest(chat.read(chat.render(chat.rebuild(chat.streamed(said.union(own))))))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
