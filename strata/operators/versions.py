@@ -138,8 +138,8 @@ def rotated(log: DataFrame, writer: str, order: tuple[str, ...], size: Column, l
             stop = min(int(np.searchsorted(ends, done + limit)) + 1, len(ends))
             out.append((len(out), stop - start, int(ends[stop - 1]) - done, int(place[start]), int(place[stop - 1])))
             start, done = stop, int(ends[stop - 1])
-        columns = list(zip(*out))
-        return pa.table({"writer": pa.array([table.column("writer")[0].as_py()] * len(out), pa.int64()), **{name: pa.array(c, pa.int64()) for name, c in zip(("segment", "n", "bytes", "first", "last"), columns)}})
+        told = {name: pa.array(c, pa.int64()) for name, c in zip(("segment", "n", "bytes", "first", "last"), zip(*out))}
+        return pa.table({"writer": pa.array([table.column("writer")[0].as_py()] * len(out), pa.int64()), **told})
 
     rows = log.select(F.col(writer).cast("long").alias("writer"), *[F.col(c).cast("long").alias(f"o{i}") for i, c in enumerate(order)], size.cast("long").alias("size"))
     return rows.groupBy("writer").applyInArrow(run, "writer long, segment long, n long, bytes long, first long, last long").withColumnRenamed("writer", writer)

@@ -172,7 +172,8 @@ def seg_zone_map(spark, sf_dir):
 
 @query(SEG + "SELECT c_custkey * 7 AS key, seg FROM customer JOIN segs ON c_custkey * 7 BETWEEN min AND max")
 def seg_contains(spark, sf_dir):
-    points = _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("key")).select("key", F.col("key").alias("lo"), F.lit(True).alias("lo_inc"), F.col("key").alias("hi"), F.lit(True).alias("hi_inc"))
+    key, yes = F.col("c_custkey") * 7, F.lit(True)
+    points = _table(spark, sf_dir, "customer").select(key.alias("key"), key.alias("lo"), yes.alias("lo_inc"), key.alias("hi"), yes.alias("hi_inc"))
     return ranges.overlap_bucketed(points, _sorted_segments(spark, sf_dir), 1000).select("key", "seg")
 
 
@@ -445,7 +446,8 @@ def frame_scan(spark, sf_dir):
 def frame_resync(spark, sf_dir):
     """Some frames have a wrong CRC, some a wrong magic; the others survive."""
     f = F.col("frame")
-    crc = F.concat(F.substring(f, F.lit(1), F.lit(9)), F.unhex(F.hex(F.bitwise_not(F.conv(F.hex(F.substring(f, F.lit(10), F.lit(1))), 16, 10).cast("int")).bitwiseAND(255))), F.substring(f, F.lit(11), F.octet_length(f)))
+    tenth = F.conv(F.hex(F.substring(f, F.lit(10), F.lit(1))), 16, 10).cast("int")
+    crc = F.concat(F.substring(f, F.lit(1), F.lit(9)), F.unhex(F.hex(F.bitwise_not(tenth).bitwiseAND(255))), F.substring(f, F.lit(11), F.octet_length(f)))
     magic = F.concat(F.unhex(F.lit("00")), F.substring(f, F.lit(2), F.octet_length(f)))
     damaged = _frames(spark, sf_dir).withColumn("frame", F.when(F.col("event_id") % 17 == 3, crc).when(F.col("event_id") % 29 == 5, magic).otherwise(f))
     return frames.scan(_files(spark, frames.append(damaged, "wal", "event_id"))).where("status = 'ok'").select("key")

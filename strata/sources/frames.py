@@ -90,7 +90,8 @@ def fetch(positions: DataFrame, payloads: DataFrame) -> DataFrame:
     pieces = pieces.select("log", "piece", F.substring("data", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("bytes"))
     first, last = F.floor(F.col("offset") / PIECE), F.floor((F.col("offset") + F.greatest(F.col("len"), F.lit(1)) - 1) / PIECE)
     asked = positions.select("*", F.monotonically_increasing_id().alias("id"), F.sequence(first.cast("int"), last.cast("int")).alias("spanned"))
-    asked = asked.select(F.struct(*[asked[i] for i in range(len(positions.columns))]).alias("row"), asked[len(positions.columns)].alias("id"), F.explode(asked[len(positions.columns) + 1]).alias("piece"))
+    *row, number, spanned = (asked[i] for i in range(len(asked.columns)))
+    asked = asked.select(F.struct(*row).alias("row"), number.alias("id"), F.explode(spanned).alias("piece"))
     met = asked.join(pieces, (F.col("row.wal_id") == F.col("log")) & (asked["piece"] == pieces["piece"]), "left")
     start = F.greatest(F.col("row.offset") - asked["piece"].cast("long") * PIECE, F.lit(0))
     end = F.least(F.col("row.offset") + F.col("row.len") - asked["piece"].cast("long") * PIECE, F.lit(PIECE))

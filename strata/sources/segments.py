@@ -48,7 +48,12 @@ class Settings:
 
     def options(self, key: str) -> dict[str, str]:
         codec = "lz4_raw" if self.codec == "lz4" else self.codec  # the form of it that all readers know
-        out = {"compression": codec, "parquet.block.size": str(self.row_group), "parquet.enable.dictionary": str(self.dictionary).lower(), f"parquet.bloom.filter.enabled#{key}": str(self.bloom).lower()}
+        out = {
+            "compression": codec,
+            "parquet.block.size": str(self.row_group),
+            "parquet.enable.dictionary": str(self.dictionary).lower(),
+            f"parquet.bloom.filter.enabled#{key}": str(self.bloom).lower(),
+        }
         if self.codec == "zstd":
             out["parquet.compression.codec.zstd.level"] = str(self.strength)
         return out | {k: str(v) for k, v in self.more.items()}
