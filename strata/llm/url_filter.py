@@ -7,7 +7,7 @@ class with a blocked URL is blocked, unless one of its URLs is explicitly allowe
 block. URLs are nodes by host, path and query; an alias need not be a page of the table.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and has no alias;
-null html has no links; repeated pages give repeated rows; of rules that are equal but for their
+null html has no links; very long pages are read whole, in one pass; repeated pages give repeated rows; of rules that are equal but for their
 action, allow wins; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .common import in_batches, written
+from .graph import SALTS, components, copies, heavy_keys, spread
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-MOST_RULES = 10_000
+LITERAL = 1_000  # rules that are tried one after another
 
 
 def host_of(url: Column) -> Column:
@@ -46,8 +47,6 @@ def query_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as a struct of rule and action; null if none does. Rules are a literal, tried in order."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     known = F.array(*[
         F.struct(F.lit(r.partition("/")[0]).alias("host"), F.lit(f"/{r.partition('/')[2]}").alias("path"), F.lit(r).alias("rule"), F.lit(action).alias("action"))
         for action, r in sorted(rules, key=lambda r: (-len(r[1]), r[0] != "allow"))
@@ -55,21 +54,36 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.get(F.filter(known, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"])), F.lit(0))
 
 
-_HIDDEN = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.S | re.I)
-_TAG = re.compile(r"<(link|meta)\b([^>]*)>", re.I)
-_ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_REFRESH = re.compile(r"""\burl\s*=\s*['"]?\s*([^'"\s]+)""", re.I)
+_OPEN = re.compile(r"<(?:(!--)|(script|link|meta)\b)", re.I)
+_SCRIPT_END = re.compile(r"</script\s*+>", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_REFRESH = re.compile(r"""\burl\s*+=\s*+['"]?\s*+([^'"\s]+)""", re.I)
 
 
 def targets(html: str) -> list[str]:
-    """What a page's canonical links and refresh redirects name."""
-    out = []
-    for tag, rest in _TAG.findall(_HIDDEN.sub("", html)):
-        named = {k.lower(): unescape(x or y or z).strip() for k, x, y, z in _ATTRIBUTE.findall(rest)}
-        if tag.lower() == "link" and "canonical" in named.get("rel", "").lower().split():
-            out.append(named.get("href", ""))
-        elif tag.lower() == "meta" and named.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.search(named.get("content", ""))):
-            out.append(m[1])
+    """What a page's canonical links and refresh redirects name, in one pass; comments and scripts are skipped, and one
+    that is not closed, or a tag that is not, ends the page."""
+    out, at = [], 0
+    while m := _OPEN.search(html, at):
+        tag = (m[2] or "").lower()
+        if not tag:
+            at = html.find("-->", m.end()) + 3
+            if at < 3:
+                break
+        elif tag == "script":
+            end = _SCRIPT_END.search(html, m.end())
+            if not end:
+                break
+            at = end.end()
+        else:
+            at = html.find(">", m.end()) + 1
+            if not at:
+                break
+            named = {k.lower(): unescape(x or y or z).strip() for k, x, y, z in _ATTRIBUTE.findall(html[m.end() : at - 1])}
+            if tag == "link" and "canonical" in named.get("rel", "").lower().split():
+                out.append(named.get("href", ""))
+            elif tag == "meta" and named.get("http-equiv", "").lower() == "refresh" and (refresh := _REFRESH.search(named.get("content", ""))):
+                out.append(refresh[1])
     return [x for x in out if x]
 
 
@@ -87,7 +101,7 @@ def aliases(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     has = F.lower(html)
     some = pages.where((has.contains("canonical") | has.contains("refresh")) & F.col(url).contains("://"))
-    links = some.select(url, html).mapInArrow(run, "u string, x string")
+    links = some.select(url, html).transform(in_batches, run, "u string, x string")
     return links.select(_node(F.col("u")).alias("a"), _node(F.col("x")).alias("b")).where("a <> '' and b <> ''").distinct()
 
 
@@ -96,22 +110,56 @@ def _node(url: Column) -> Column:
     return F.when(host_of(url) == "", "").otherwise(F.concat(host_of(url), F.lit("\n"), path_of(url), F.lit("\n"), query_of(url)))
 
 
+def with_rule(urls: DataFrame, rules=RULES) -> DataFrame:
+    """urls (host, path and other columns) with r, the longest rule that fits (rule and action) or null.
+
+    rules: (action, rule) pairs, or a DataFrame of these columns. Up to LITERAL pairs are a literal; any more are joined:
+    each host is looked up by its suffixes, each path by its prefixes of the lengths that rules of that suffix have."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= LITERAL:
+            return urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame([(r[0], r[1]) for r in rules], "action string, rule string")
+    slash = F.instr("rule", "/")
+    host = F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule"))
+    path = F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise("/")
+    table = rules.select(host.alias("suffix"), path.alias("prefix"), "rule", (F.col("action") == "allow").alias("allow")).groupBy("suffix", "prefix", "rule").agg(F.max("allow").alias("allow"))
+    sizes = table.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    distinct = written(urls.select("host", "path").distinct(), "urls")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tried = distinct.select("host", "path", F.explode(suffixes).alias("suffix"))
+    heavy = heavy_keys(tried, "suffix")
+    by_host = spread(tried, "suffix", heavy, "path").join(copies(sizes, "suffix", heavy), ["suffix", "salt"]).drop("salt")
+    prefixes = by_host.select("host", "path", "suffix", F.explode("sizes").alias("size")).where(F.length("path") >= F.col("size")).withColumn("prefix", F.substring("path", F.lit(1), F.col("size")))
+    prefixes = written(prefixes.select("host", "path", F.concat("suffix", "prefix").alias("start"), "suffix", "prefix"), "prefixes")
+    heavy = heavy_keys(prefixes, "start")
+    known = copies(table.withColumn("start", F.concat("suffix", "prefix")), "start", heavy)
+    fits = spread(prefixes, "start", heavy, "path").join(known, ["start", "suffix", "prefix", "salt"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "allow", "rule")).alias("b"))
+    action = F.when(F.col("b.allow"), "allow").otherwise("block")
+    best = best.select(F.concat("host", F.lit("\n"), "path").alias("url"), F.struct(F.col("b.rule").alias("rule"), action.alias("action")).alias("r"))
+    own = urls.withColumn("url", F.concat("host", F.lit("\n"), "path"))
+    heavy = heavy_keys(own, "url")
+    return spread(own, "url", heavy, urls.columns[0]).join(copies(best, "url", heavy), ["url", "salt"], "left").select(*urls.columns, "r")
+
+
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, host, path, rule and verdict of each page."""
+    """key, host, path, rule and verdict of each page. rules as in ``with_rule``."""
     linked = components(aliases(pages, url, html))
     parts = F.split("node", "\n")
-    own = linked.select("node", "component", rule_of(parts[0], parts[1], rules)["action"].alias("action"))
+    own = written(with_rule(linked.select("node", "component", parts[0].alias("host"), parts[1].alias("path")), rules).select("node", "component", F.col("r.action").alias("action")), "own")
     classes = own.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
-    blocked = own.join(classes.where("blocked and not coalesce(allowed, false)"), "component").select("node", F.lit("block").alias("passed"))
+    heavy = heavy_keys(own, "component")
+    told = copies(classes.where("blocked and not coalesce(allowed, false)"), "component", heavy)
+    blocked = spread(own, "component", heavy, "node").join(told, ["component", "salt"]).select("node", F.lit("block").alias("passed"))
     u = F.col("u")
-    judged = (
-        pages.select(F.col(key).alias("k"), F.col(url).alias("u"))
-        .select("k", host_of(u).alias("host"), path_of(u).alias("path"), _node(u).alias("node"))
-        .withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-        .join(blocked, "node", "left")
-    )
-    verdict = F.coalesce(F.col("r")["action"], F.col("passed"), F.lit("allow"))
-    return judged.select(F.col("k").alias(key), "host", "path", F.col("r")["rule"].alias("rule"), verdict.alias("verdict"))
+    asked = pages.select(F.col(key).alias("k"), F.col(url).alias("u")).select("k", host_of(u).alias("host"), path_of(u).alias("path"), _node(u).alias("node"))
+    # any url may be that of very many pages: pages are dealt to SALTS parts, each with a copy of the few blocked aliases
+    salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")
+    spread_out = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = with_rule(asked, rules).withColumn("salt", salt).join(spread_out, ["node", "salt"], "left")
+    verdict = F.coalesce(F.col("r.action"), F.col("passed"), F.lit("allow"))
+    return judged.select(F.col("k").alias(key), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
 
 
 ORACLE_SQL = r"""

@@ -84,7 +84,7 @@ def test_classes_do_not_hide_the_article():
     for page in (
         '<main class="with-sidebar"><h1>T</h1><p>some text</p></main>', f'<div id=content class="no-sidebar">{article}</div>', '<div class="page has-header"><h1>T</h1><p>some text</p></div>',
         '<div class="page header-fixed"><h1>T</h1><p>some text</p></div>', '<article class="post tags"><h1>T</h1><p>some text</p></article>', f'<div class="content right-sidebar">{article}<div class="sidebar">s</div></div>',
-        f'<main><div class="page header-fixed">{article}</div></main>', '<article><div class="entry-header"><h1>T</h1></div><p>some text</p><div class="tags">t</div></article>',
+        f'<main><div class="page header-fixed">{article}</div></main>', '<article><div class="entry-header"><h1>T</h1></div><p>some text</p><div class="newsletter">t</div></article>',
         f'{article}<div class="sidebar"><article><p>a</p></article></div>', f'<div class="comments"><article class="comment"><p>a much longer comment</p></article></div>{article}',
         '<div class="header"><h1>Site</h1></div><div><h1>T</h1><p>some text</p></div>',
     ):
@@ -92,6 +92,107 @@ def test_classes_do_not_hide_the_article():
     assert own("<noscript>js</noscript><article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>label</text></svg><noscript>plain</noscript></article>") == ["so x=2 holds", "label", "plain"]
 
 
+def test_words_of_an_article_stay(frame):
+    kept = ['<p class="form">A poem</p>', '<section class="legal"><p>A law</p></section>', '<div id="search-results"><p>Found</p></div>', '<p class="notice">Noticed</p>', '<div class="tags">Cats</div>']
+    gone = ['<div class="ad">Buy</div>', '<div class="comments"><p>Nice</p></div>', '<form>Name</form>', '<div class="sidebar">Side</div>', '<div class="notice">We use them</div>', '<nav>Menu</nav>']
+    rows = [(i, "http://h.foo/", f"<body><article><h1>T{i}</h1>{''.join(kept + gone)}<p>End</p></article></body>") for i in range(3)]
+    got = site_style.extract(frame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"T{i}\nA poem\nA law\nFound\nNoticed\nCats\nEnd" for i in range(3)}
+
+
+def test_the_tree_decides(frame):
+    """What its class says is overruled by how often a branch's texts come again: within an article and beside it."""
+    page = (
+        '<body><article><h1>T{0}</h1><p>Story {0} goes on and on, as long as it likes.</p><div class="share">Tell your friends</div><div class="sidebar">Note {0}</div><section class="x1">Read on</section></article></body>'
+    )
+    bare = '<body><div class="top1">Our site</div><div class="widget">Tale {0} is told in a widget and is quite long.</div><div class="side">Same</div></body>'
+    rows = [(i, "http://h.foo/", page.format(i)) for i in range(20)] + [(100 + i, "http://g.foo/", bare.format(i)) for i in range(20)]
+    df = frame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r.text for r in site_style.extract(df).collect()}
+    off = {r.page_id: r.text for r in site_style.extract(df, least_pages=10**9).collect()}
+    assert on[3] == "T3\nStory 3 goes on and on, as long as it likes.\nNote 3" and on[103] == "Tale 3 is told in a widget and is quite long."
+    assert off[3] == "T3\nStory 3 goes on and on, as long as it likes.\nTell your friends\nRead on" and off[103] == "Our site"
+
+
+def test_importance_against_brute_force(frame):
+    """Entropies from lists of all contents of all pages."""
+    import math
+    import random
+
+    r = random.Random(2)
+    rows = [("ab"[i % 3 == 0], "".join(f'<div class="c{k}">{r.choice("xyzuvw")}<b class=i>{r.choice("pq")}</b></div>' for k in range(r.randrange(4)))) for i in range(60)]
+    told = {(x.host, x.node): (x.pages, x.importance) for x in site_style.style_tree(frame(rows, "host string, html string")).collect()}
+    distinct, want = {}, {}
+    for host, page in rows:
+        blocks, children = site_style.parse(page)
+        distinct.setdefault((host, "\n".join(b.text for b in blocks)), []).append((sorted({(node, b.text) for b in blocks for node in b.chain}), {n for b in blocks for n in b.chain}, children))
+    for (host, _), same in distinct.items():
+        for contents, nodes, children in same[:1]:
+            for node in nodes:
+                want.setdefault((host, node), [[], 0])[1] += 1
+                want[host, node][0] += [t for n, t in contents if n == node]
+    checked = 0
+    for at, (texts, pages) in want.items():
+        if pages > 1:
+            n = [texts.count(t) for t in set(texts)]
+            entropy = -sum(x / len(texts) * math.log(x / pages) for x in n) / math.log(pages)
+            assert told[at][0] == pages and abs(told[at][1] - entropy) < 1e-9
+            checked += 1
+    assert checked >= 4
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for unit in ("<a", "<div>x", "<title>", "<script ", "<!--", "<!", '<a "', "<p>x", "<b c>", "</x>", "<h1>a", "<ul>", "<a b='c\"", "<article>x", "</title"):
+        for page in (unit * (1_000_000 // len(unit)), unit * (300_000 // len(unit)) + ">" + "<p>" + "<b c>" * 20_000 + unit * (300_000 // len(unit))):
+            began = time.process_time()
+            site_style.parse(page)
+            url_filter.targets(page)
+            assert time.process_time() - began < 6, unit
+
+
+def test_very_long_pages(frame):
+    body = "<p>word</p>" * 50_000
+    rows = [(1, "http://h.foo/", f"<article>{body}</article>"), (2, "http://h.foo/2", f"<div>{body}<link rel=canonical href='http://x.org/es/'>")]
+    df = frame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style.extract(df).collect()}
+    assert got[1] == got[2] == "\n".join(["word"] * 50_000)
+    assert {r.page_id: r.verdict for r in url_filter.judge(df).collect()} == {1: "allow", 2: "block"}
+
+
+def test_many_rules_give_what_a_literal_gives(frame):
+    import random
+
+    r = random.Random(1)
+    part = lambda: r.choice(["a", "b", "c.d", "e"])
+    rules = list({f"{part()}.{part()}/{r.choice(['', 'x', 'x/y', 'z'])}": r.choice(["allow", "block"]) for _ in range(60)}.items())
+    rules = [(action, rule) for rule, action in rules] + [("block", "tie.a/"), ("allow", "tie.a/")]
+    rows = [(i, f"http://{part()}.{part()}.{part()}/{r.choice(['', 'x', 'xy', 'x/y/z', 'zz'])}", None) for i in range(200)] + [(300, "u://tie.a/", None), (301, None, None), (302, "u://tie.a", None)]
+    df = frame(rows, "page_id long, url string, html string")
+    by_table = url_filter.judge(df, df.sparkSession.createDataFrame(rules, "action string, rule string"))
+    assert sorted(map(str, by_table.collect())) == sorted(map(str, url_filter.judge(df, rules).collect()))
+    assert by_table.where("rule is not null").count() > 20
+
+
+def test_streams_without_roles_and_repeated_events(frame):
+    e = [(1, 0, 0, "delta", None, "a"), (1, 0, 1, "delta", "", "b"), (1, 0, 1, "delta", "", "b"), (2, 0, 0, "start", "user", "x"), (2, 0, 1, "delete", None, None), (2, 0, 2, "delta", None, "lost")]
+    events = frame(e, "conv_id long, message long, seq long, kind string, role string, text string")
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.rebuild(events).collect()} == {1: [("", "ab")], 2: []}
+
+
+def test_turns_as_streams(frame):
+    long = "x<[\\" * 50_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 1, "assistant", long), (1, None, None, None), (2, 0, "assistant", None), (2, 1, "assistant", "a"), (2, 2, "user", "b")]
+    events = chat.streamed(frame([(*r, 0) for r in rows], "conv_id long, turn int, role string, text string, step int"))
+    assert {"start", "delta", "regenerate", "edit"} == {r.kind for r in events.collect()}
+    back = chat.read(chat.render(chat.rebuild(events))).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back} == {
+        1: [("", ""), ("user", "hi"), ("assistant", long), ("assistant", long)], 2: [("assistant", ""), ("assistant", "a"), ("user", "b")],
+    }
+    assert {r.conv_id: r.loss_text for r in back} == {1: long + long, 2: "a"}
+
+
 def test_events_fold_to_messages(frame):
     e = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "start", "assistant", ""), (1, 1, 2, "delta", None, "wro"), (1, 1, 3, "delta", None, "ng"), (1, 1, 4, "regenerate", None, None),
