@@ -210,7 +210,8 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, n_words, spans (word positions of hits, merged) and items (sorted as strings) of each document."""
-    df = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    df = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *none)
 
     def step(shared, _):
         def run(batches):
@@ -223,7 +224,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key:
                     n.append(len(words))
                     spans.append(_merged(old + got) if old else got)
                     items.append(sorted(found.union(had)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=["k", "t", "n_words", "spans", "items"])
+                told = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *told], names=["k", "t", "n_words", "spans", "items"])
 
         return run, df.schema
 

@@ -117,7 +117,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_i
 
     best = dealt.groupBy("b", "dims").cogroup(asked.distinct().groupBy("b", "dims")).applyInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
+    kept = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("neighbour_id"), F.col("distance").cast("long").alias("distance"))
 
 
 def _matrix(column, dims: int) -> np.ndarray:
