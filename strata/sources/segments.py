@@ -1,10 +1,11 @@
 """Sorted Parquet segments with a versioned manifest, written and read with pruning.
 
-A store is a folder of three: ``data/<generation>`` has segments, ``ops/<generation>`` what a commit adds and removes
+A store is a folder: ``data/<generation>`` has segments, ``ops/<generation>`` what a commit adds and removes
 (a row for each segment with its key range), and ``log/<version>-<generation>`` is an empty file for each commit. A
 commit writes data, then its operations, then the one file in ``log``, whose creation publishes all of it at once:
 a reader sees all of a commit or nothing, and whoever holds a version reads what it had. Live segments of a version
-are those whose last operation adds them. A store has one writer at a time, any number of readers.
+are those whose last operation adds them; ``live/<version>`` keeps those of a version, so that not all operations are
+replayed. A store has one writer at a time, any number of readers.
 """
 
 from __future__ import annotations
@@ -127,9 +128,9 @@ def write(df: DataFrame, path: str, key: str, parts: int, level: int = 0, genera
     return commit(spark, path, *stage(df, path, key, parts, level, generation, flag, settings))
 
 
-def operations(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """All operations with the version that did them; None if there are none."""
-    known = [(v, g) for v, g in _commits(spark, path) if upto is None or v <= upto]
+def operations(spark: SparkSession, path: str, upto: int | None = None, after: int = 0) -> DataFrame | None:
+    """All operations of the versions after one with the version that did them; None if there are none."""
+    known = [(v, g) for v, g in _commits(spark, path) if v > after and (upto is None or v <= upto)]
     if not known:
         return None
     rows = spark.read.parquet(*[f"{path}/ops/{g}" for _, g in known])
@@ -138,9 +139,28 @@ def operations(spark: SparkSession, path: str, upto: int | None = None) -> DataF
     return rows.withColumn("by", by).join(F.broadcast(numbers), "by").drop("by")  # a row for each commit
 
 
+def _checkpoints(spark: SparkSession, path: str, upto: int | None) -> list[int]:
+    names = [x.getPath().getName() for x in _Files(spark, path).list("live")]
+    return [int(x) for x in names if x.isdigit() and (upto is None or int(x) <= upto)]
+
+
+def checkpoint(spark: SparkSession, path: str) -> int:
+    """Keeps the live segments of the latest version as they are, so that readers replay only what came later; the version."""
+    at, live = version(spark, path), manifest(spark, path)
+    if live is not None and at not in _checkpoints(spark, path, None):
+        live.coalesce(1).write.mode("overwrite").parquet(f"{path}/live/{at}-rows")
+        _Files(spark, path).create(f"live/{at}")
+    return at
+
+
 def manifest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """Live segments of a version, the latest by default, with the version that added them."""
-    ops = operations(spark, path, upto)
+    """Live segments of a version, the latest by default, with the version that added them: those of the last checkpoint
+    before it and all operations since, of which the last one of a segment wins."""
+    base = max(_checkpoints(spark, path, upto), default=0)
+    ops = operations(spark, path, upto, base)
+    if base:
+        held = spark.read.parquet(f"{path}/live/{base}-rows")
+        ops = held.withColumn("add", F.lit(True)).unionByName(ops) if ops is not None else held.withColumn("add", F.lit(True))
     return None if ops is None else levels.replay(ops, "file", "version").drop("add")
 
 

@@ -160,6 +160,20 @@ def test_versions_of_a_store(spark, tmp_path):
     assert segments.vacuum(spark, path, grace=0) == 1 and segments.read(spark, path, "key").count() == 13
 
 
+def test_checkpoints(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    assert segments.checkpoint(spark, path) == 0 and segments.manifest(spark, path) is None
+    rows = lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "key")
+    for i in range(3):
+        segments.write(rows(10 * i, 10 * i + 10), path, "key", 1)
+    before = sorted(map(str, segments.manifest(spark, path).select("file", "version", "n").collect()))
+    assert segments.checkpoint(spark, path) == segments.checkpoint(spark, path) == 3
+    assert sorted(map(str, segments.manifest(spark, path).select("file", "version", "n").collect())) == before
+    segments.replace(rows(0, 4), path, "key")
+    assert segments.read(spark, path, "key").count() == 4 and segments.read(spark, path, "key", upto=3).count() == 30 and segments.read(spark, path, "key", upto=2).count() == 20
+    assert segments.operations(spark, path, after=3).count() == 4
+
+
 def test_compaction_loop(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     for i in range(5):
