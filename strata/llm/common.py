@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from ..scratch import shared_dir
 
 WORD_CACHE = 150_000  # words that a task remembers before it starts anew; bounds its memory
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -46,9 +49,17 @@ def discard(*tables: DataFrame) -> None:
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with batches of at most BATCH_BYTES or so (or one row), however long the texts are: what the JVM
-    and Python hold at once does not grow with the texts of 10,000 rows."""
+    and Python hold at once does not grow with the texts of 10,000 rows. A task that ends gives its memory back, as
+    its worker stays for others."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def freed(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where there is no such library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(freed, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -36,13 +36,14 @@ from .graph import HEAVY, components, copies, heavy_keys, lookup, spread
 
 WORDS = 5
 COMMON = 65_536  # shingles that are put last, the commonest
-LOCALLY_COMMON = 4  # times in FLUSH shingles or so of a task, to be looked at
-FLUSH = 3_000_000
-SEEN = 200_000  # sets that a task knows to have been there
+LOCALLY_COMMON = 3  # times in FLUSH shingles or so of a task, to be looked at
+FLUSH = 2_000_000
+SEEN = 100_000  # sets that a task knows to have been there
 PART = 40  # bits of a code below the part
 BLOCK = 2_048  # sets of a tile that are compared with as many others in one place
+LEAST_BITS = 2_048  # of a bitmap: the finer it is, the fewer pairs below the threshold it lets pass
 MARKS = 1 << 24  # bits by which texts to be verified are known
-SHORT = 128  # bytes of the bitmaps that travel with tiles
+SHORT = 256  # bytes of the bitmaps that travel with tiles
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,8 +123,8 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits of a set: 4 or more for each shingle, a power of two of them, 64 at least."""
-    size = max(64, 1 << (4 * len(s) - 1).bit_length())
+    """Hashed bits of a set: 4 or more for each shingle, a power of two of them, LEAST_BITS at least."""
+    size = max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -425,7 +426,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     heavy = heavy_keys(nodes, "sid", "rows")
     by_set = lookup(label, "c", final.select(F.col("node").alias("c"), "component"), "sid").select("sid", F.col("n").alias("m"), F.coalesce("component", "c").alias("component_id"))
     left, right = spread(own.select("k", "sid", "n"), "sid", heavy, "k"), copies(by_set, "sid", heavy)
-    found = left.join(right, (left["sid"] == right["sid"]) & (left["n"] == right["m"]) & (left["salt"] == right["salt"]), "left").select("k", "n", F.coalesce("component_id", "k").alias("component_id"))
+    same = (left["sid"] == right["sid"]) & (left["n"] == right["m"]) & (left["salt"] == right["salt"])
+    found = left.join(right, same, "left").select("k", "n", F.coalesce("component_id", "k").alias("component_id"))
     lost = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id"))
     return found.union(lost).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

@@ -37,7 +37,7 @@ HASHES = 4
 WEIGHTS = (1, 2, 4)  # of n-grams by order, in keep_known
 QUANTILE = 0.1
 MARGIN = 0.7
-RUN = 2_000_000  # characters whose words are looked up at once
+RUN = 500_000  # characters whose words are looked up at once
 LEAST = 0.25  # where there are no rows to derive it from
 _NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("Nl", "No"))  # word characters, but no letters or digits
 _ALNUM, _LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")

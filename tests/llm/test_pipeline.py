@@ -36,3 +36,24 @@ def test_stages_one_by_one(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert p.run(spark, D).count() > 100
+
+
+def test_odd_rows_at_every_stage(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and columns of names that the stages use."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    text, item = docs.where("lang = 'en'").first().text, spark.read.parquet(f"{D}/benchmark.parquet").first().text
+    long = " ".join([text] * (1_000_000 // len(text)))
+    odd = [(-1, None, None, None, None), (-2, "", "en", "x", 0), (-3, "12 !!", "en", "x", 5), (-4, long, "en", "x", len(long)), (-5, item, "en", "x", 9), (None, text + " again and again", None, None, None), (-6, long, "en", "x", 3), (-6, long, "en", "x", 3)]
+    clash = ["perturbed", "spans", "row", "ids", "k", "t", "sid", "salt"]
+    every = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", *[f"doc_id as {c}" for c in clash])
+    left = {}
+    for name, stage in p.STAGES:
+        out = stage(spark, every, D)
+        left[name] = sorted(r.doc_id or 0 for r in out.where("doc_id < 0 or doc_id is null").collect())
+        assert out.columns == (every.columns if name != "byte-level BPE" else ["doc_id", "n_tokens", "ids", "decoded"])
+        assert stage(spark, every.limit(0), D).count() == 0
+    assert left["language ID"] == [-6, -6, -5, -4, 0]
+    assert left["quality classifier"].count(-6) in (0, 2)
+    assert left["n-gram Jaccard join"] == [-6, -5, -3, -2, -1, 0]
+    assert left["benchmark decontamination"] == [-6, -6, -4, -3, -2, -1, 0]
+    assert left["byte-level BPE"] == [-6, -6, -5, -4, -3, -2, -1, 0]
