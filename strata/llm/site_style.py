@@ -14,7 +14,8 @@ holds more than half of a page's own text stays on that page (whole, if more tha
 
 Trees are counts by (host, node, content), summed before and after a shuffle, over one page of each
 (host, own text); a host's branches to remove go to its pages by a join on host and a salt, so a host
-with a third of all pages is spread out.
+with a third of all pages is spread out. Only branches that one in SHARE of a host's pages has travel so,
+which bounds the list; the rest are joined with the nodes of each page, and go to the pages that have them.
 
 Edge cases: null and empty html have empty text; null urls count as one host; broken or unclosed markup
 is read as far as it goes; repeated pages give repeated rows; an empty table gives an empty one; other
@@ -33,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
+from .common import discard, in_batches, written
 from .url_filter import host_of
 
 LEAST_PAGES = 8  # of a node, before its statistics remove it
 LEAST_IMPORTANCE = 0.35
 SURE = 0.6  # importance of a branch whose class or id sounds like furniture
-SHARE = 200
+SHARE = 200  # branches that fewer pages than one in so many have are joined page by page
 SALTS = 32
 FLUSH = 200_000
 
@@ -282,13 +283,13 @@ def own_text(blocks: list[Block]) -> list[Block]:
     return [x for x in kept if x.main] or kept
 
 
-def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """host, node, pages and importance of each node of each host's tree; pages of the same own text count once."""
+def page_trees(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    """host, page (a hash of the html), copy (a hash of the own text) and tree (pairs of node and content) of each page."""
 
     def trees(batches):
         for b in batches:
             copies, packed = [], []
-            for page in b.column(1).to_pylist():
+            for page in b.column(2).to_pylist():
                 blocks, children = parse(page)
                 each = {(block.chain, _content(block.text)) for block in blocks}
                 seen = {(node, 0) for chain in {chain for chain, _ in each} for node in chain}  # content 0: that the page has the node
@@ -298,7 +299,19 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
                 own = [x for x in blocks if not x.shut]  # whatever names say of it
                 copies.append(_content("\n".join(x.text for x in [x for x in own if x.main] or own)))
                 packed.append(np.array(sorted(seen), np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies, pa.int64()), pa.array(packed, pa.binary())], names=["host", "copy", "tree"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(copies, pa.int64()), pa.array(packed, pa.binary())], names=["host", "page", "copy", "tree"])
+
+    each = pages.select(F.col(host).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    return each.transform(in_batches, trees, "host string, page long, copy long, tree binary")
+
+
+def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    """host, node, pages and importance of each node of each host's tree; pages of the same own text count once."""
+    return _merged(page_trees(pages, host, html))
+
+
+def _merged(trees: DataFrame) -> DataFrame:
+    """The nodes of ``style_tree`` from the trees of pages."""
 
     def count(batches):
         sums: dict[tuple[str, int, int], int] = {}
@@ -316,10 +329,7 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
         columns = [pa.array([k[i] for k in sums], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.int64())], names=["host", "node", "content", "n"])
 
-    distinct = (
-        pages.select(F.col(host).alias("host"), F.col(html).alias("html")).transform(in_batches, trees, "host string, copy long, tree binary")
-        .groupBy("host", "copy").agg(F.min("tree").alias("tree")).select("host", "tree")
-    )
+    distinct = trees.groupBy("host", "copy").agg(F.min("tree").alias("tree")).select("host", "tree")
     each = distinct.transform(in_batches, count, "host string, node long, content long, n long").groupBy("host", "node", "content").agg(F.sum("n").alias("n"))
     own = F.col("content") != 0
     nodes = each.groupBy("host", "node").agg(
@@ -354,21 +364,56 @@ def kept_of(blocks: list[Block], low: set[int], sure: set[int]) -> list[Block]:
     return [x for x in own if low.isdisjoint(x.chain)]
 
 
+def _salted(rows: DataFrame, by: list[str], lists: DataFrame, how: str) -> DataFrame:
+    """rows joined with the lists of their host; those of a host are spread over SALTS by other columns."""
+    copies = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"], how)
+
+
+def _of_pages(trees: DataFrame, judged: DataFrame, rare: DataFrame) -> DataFrame:
+    """host, page, and the nodes of rare that each page has: rare_low and rare_sure. Only nodes that are not often there
+    are looked for, so no node of a whole host meets in one place."""
+
+    def run(batches):
+        for b in batches:
+            usual, at = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            rows: list[tuple[str, int, int]] = []
+            for i, (name, page, tree) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
+                own = np.frombuffer(tree, np.int64).reshape(-1, 2)
+                own = own[own[:, 1] == 0, 0]  # each node of a page once
+                rows += [(name, page, node) for node in own[~np.isin(own, usual[at[i] : at[i + 1]])].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "node"])
+
+    usual = judged.groupBy("host").agg(F.collect_list(F.when(F.col("often"), F.col("node"))).alias("usual"), F.max(~F.col("often") & (F.col("low") | F.col("high"))).alias("more"))
+    each = _salted(trees, ["page"], usual.where("more").select("host", "usual"), "inner").select("host", "page", "tree", "usual")
+    got = each.transform(in_batches, run, "host string, page long, node long").distinct().join(rare.select("host", "node", "low"), ["host", "node"])
+    return got.groupBy("host", "page").agg(F.collect_list(F.when(F.col("low"), F.col("node"))).alias("rare_low"), F.collect_list(F.when(~F.col("low"), F.col("node"))).alias("rare_sure"))
+
+
 def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, sure: float = SURE
 ) -> DataFrame:
-    """key, url and text of each page. A branch is judged if least_pages of its host have it, and one in SHARE of those that have the commonest."""
-    own = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    nodes = written(style_tree(own), "styles")
-    least = F.greatest(F.lit(least_pages), F.ceil(F.max("pages") / SHARE))
-    hosts = nodes.groupBy("host").agg(least.alias("least"))
+    """key, url and text of each page. A branch is judged if least_pages of its host have it."""
+    own = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"))
+    trees = written(page_trees(own), "trees")
+    nodes = written(_merged(trees), "styles")
+    often = F.col("pages") >= F.ceil(F.col("most") / SHARE)  # each page has few kinds of branches, so few are in 1 of SHARE
     suspect = F.col("node") % 2 == 1
-    # what sounds like furniture has to be as important as text is; each page has few kinds of branches, so few are in 1 of SHARE
-    judged = nodes.join(hosts, "host").where("pages >= least")
+    # what sounds like furniture has to be as important as text is
     low, high = F.col("importance") < F.when(suspect, sure).otherwise(least_importance), suspect & (F.col("importance") >= sure)
-    told = judged.where(low | high).groupBy("host").agg(F.collect_list(F.when(low, F.col("node"))).alias("low"), F.collect_list(F.when(high, F.col("node"))).alias("sure"))
-    spread = told.select("host", "low", "sure", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = own.withColumn("salt", F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left").select("k", "u", "html", "low", "sure")
+    judged = nodes.where(F.col("pages") >= least_pages).join(nodes.groupBy("host").agg(F.max("pages").alias("most")), "host")
+    judged = written(judged.select("host", "node", often.alias("often"), low.alias("low"), high.alias("high")), "judged")
+    rare = judged.where("not often and (low or high)")
+    listed = lambda on, name: F.collect_list(F.when(F.expr(on), F.col("node"))).alias(name)
+    told = judged.where("low or high").groupBy("host").agg(listed("often and low", "low"), listed("often and high", "sure"), F.max(~F.col("often")).alias("more"))
+    joined = _salted(own, ["k", "u"], told, "left")
+    out = joined.select("k", "u", "html", "low", "sure")
+    if not rare.isEmpty():
+        found = written(_of_pages(trees, judged, rare), "rare")
+        both = joined.where("more").join(found, ["host", "page"], "left")
+        with_rare = [F.concat(x, F.coalesce(f"rare_{x}", F.array().cast("array<long>"))).alias(x) for x in ("low", "sure")]
+        out = joined.where("more is null or not more").select(*out.columns).union(both.select("k", "u", "html", *with_rare))
+    discard(trees, nodes)
 
     def run(batches):
         for b in batches:
@@ -376,7 +421,7 @@ def extract(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["k", "u", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return joined.transform(in_batches, run, f"k {kind}, u string, text string").select(F.col("k").alias(key), F.col("u").alias(url), "text")
+    return out.transform(in_batches, run, f"k {kind}, u string, text string").select(F.col("k").alias(key), F.col("u").alias(url), "text")
 
 
 def importance_of(counts: dict[int, int], pages: int) -> float:

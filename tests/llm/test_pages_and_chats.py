@@ -114,6 +114,25 @@ def test_the_tree_decides(frame):
     assert off[3] == "T3\nStory 3 goes on and on, as long as it likes.\nTell your friends\nRead on" and off[103] == "Our site"
 
 
+def test_branches_of_few_pages_of_a_large_host(frame):
+    """A host's size decides nothing: what eight of 2,000 pages have is judged as on a host of eight, page by page."""
+    page = '<body><nav>Menu</nav><div class="story"><p>Tale {0} is told here and is quite long.</p></div>{1}</body>'
+    rare = ('<div class="x1">Same words</div><div class="x2">Own {0}</div>', '<div class="widget">Note {0}</div><div class="sidebar">Side</div>', '<div class="x3">Seven {0}</div><div class="widget">Two</div>')
+    rows = [(i, "http://h.foo/", page.format(i, rare[0].format(i) if i < 8 else rare[1].format(i) if i < 17 else rare[2].format(0) if i < 24 else "")) for i in range(2000)]
+    rows += [rows[0], (3000, "http://H.foo/x", rows[1][2]), (3001, "http://g.foo/", rows[0][2])]
+    df = frame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in site_style.extract(df).collect())
+    nodes = site_style.style_tree(frame([("g" if "g.foo" in r[1] else "h", r[2]) for r in rows], "host string, html string")).where("pages >= 8").collect()
+    low = {x.node for x in nodes if x.importance < (site_style.SURE if x.node % 2 else site_style.LEAST_IMPORTANCE)}
+    sure = {x.node for x in nodes if x.node % 2} - low
+    want = lambda r: "\n".join(x.text for x in site_style.kept_of(site_style.parse(r[2])[0], *((low, sure) if "g.foo" not in r[1] else (set(), set()))))
+    assert got == sorted((r[0], want(r)) for r in rows)
+    text = dict(got)
+    tale = "Tale {} is told here and is quite long."
+    assert text[3] == f"{tale.format(3)}\nOwn 3" and text[9] == f"{tale.format(9)}\nNote 9" and text[500] == tale.format(500)
+    assert text[3000] == f"{tale.format(1)}\nOwn 1" and text[3001] == f"{tale.format(0)}\nSame words\nOwn 0"
+
+
 def test_importance_against_brute_force(frame):
     """Entropies from lists of all contents of all pages."""
     import math
