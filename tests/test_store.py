@@ -294,6 +294,35 @@ def test_log_files_and_payloads(spark, tmp_path, monkeypatch):
     assert sorted([(r.wal_id, r.offset, r.len, None if r.value is None else bytes(r.value)) for r in got], key=key) == sorted(want, key=key)
 
 
+def test_positions_that_no_log_has(spark, monkeypatch):
+    monkeypatch.setattr(frames, "PIECE", 7)
+    logs = spark.createDataFrame([(1, bytearray(b"0123456789")), (2, bytearray())], "log long, data binary")
+    asked = [(1, 2, 3), (1, 5, 5), (1, 10, 0), (2, 0, 0), (1, 12, 0), (1, 11, 0), (1, -1, 3), (1, 3, -1), (1, 5, 6), (2, 0, 1), (1, 2**62, 2**62), (1, 0, 2**62), (1, None, 1), (1, 0, None), (None, 0, 1)]
+    want = dict.fromkeys(asked) | {(1, 2, 3): b"234", (1, 5, 5): b"56789", (1, 10, 0): b"", (2, 0, 0): b""}
+    got = frames.fetch(spark.createDataFrame(asked, "wal_id long, offset long, len long"), logs).collect()
+    assert len(got) == len(asked) and {r[:3]: None if r.value is None else bytes(r.value) for r in got} == want
+
+
+def test_positions_keep_no_copies_of_a_log(spark):
+    """Positions of a log of 3 MB, in one piece or in two, whose pieces for each would not fit in memory: no task spills."""
+    data = random.Random(1).randbytes(3000) * (frames.PIECE // 1000)
+    logs = spark.createDataFrame([(1, bytearray(data))], "log long, data binary")
+    asked = [(1, i * 100, 50) for i in range(5000)] + [(1, 2 * frames.PIECE - 1 - i, 600) for i in range(500)]
+    sc, group = spark.sparkContext, "positions"
+    sc.setJobGroup(group, group)
+    try:
+        got = frames.fetch(spark.createDataFrame(asked, "wal_id long, offset long, len long").coalesce(1), logs).collect()
+    finally:
+        sc.setJobGroup("others", "others")
+    assert sorted(r[:3] for r in got) == sorted(asked) and all(r.value == data[r.offset : r.offset + r.len] for r in got)
+    tracker, most = sc.statusTracker(), sc._gateway.new_array(sc._jvm.double, 1)
+    most[0] = 1.0
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+    tasks = [x.get() for x in (sc._jsc.sc().statusStore().taskSummary(k, 0, most) for k in stages) if x.isDefined()]
+    assert tasks and [x.memoryBytesSpilled().apply(0) for x in tasks] == [0] * len(tasks)
+
+
 def test_tables_of_symbols():
     r = random.Random(1)
     assert fsst.hash_of(0) == 0 and fsst.hash_of(1) == 2971215073 ^ (2971215073 >> 15)
